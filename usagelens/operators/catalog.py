@@ -64,7 +64,7 @@ def shape_catalog(raw: DataFrame) -> DataFrame:
 
 
 def dedupe_catalog(catalog: DataFrame) -> DataFrame:
-    """One catalogue row per cleaned title, the first in column order."""
+    """One catalogue row per cleaned title, the first in column order; for joins that must not fan out."""
     return _first_per_key(catalog, "title_clean")
 
 
@@ -81,16 +81,17 @@ def item_mean_hours(interactions: DataFrame) -> DataFrame:
     return means.withColumn("item_clean", clean_title(F.col("item")))
 
 
+def _join_titles(items: DataFrame, catalog: DataFrame, how: str = "inner") -> DataFrame:
+    return items.join(catalog, items["item_clean"] == catalog["title_clean"], how)
+
+
 def join_catalog_exact(interactions: DataFrame, catalog: DataFrame) -> DataFrame:
     """Items joined to the catalogue on cleaned titles; repeated titles give repeated rows."""
-    items = item_mean_hours(interactions)
-    return items.join(catalog, items["item_clean"] == catalog["title_clean"])
+    return _join_titles(item_mean_hours(interactions), catalog)
 
 
 def unmatched_items(interactions: DataFrame, catalog: DataFrame) -> DataFrame:
-    items = item_mean_hours(interactions)
-    titles = catalog.select("title_clean")
-    return items.join(titles, items["item_clean"] == titles["title_clean"], "left_anti")
+    return _join_titles(item_mean_hours(interactions), catalog.select("title_clean"), "left_anti")
 
 
 def join_catalog_fuzzy(interactions: DataFrame, catalog: DataFrame, cutoff: float = 0.93,
@@ -102,18 +103,21 @@ def join_catalog_fuzzy(interactions: DataFrame, catalog: DataFrame, cutoff: floa
     """
     if mode not in ("auto", "always", "never"):
         raise ValueError(f"unknown mode: {mode}")
-    exact = join_catalog_exact(interactions, catalog)
-    if mode == "never" or (mode == "auto" and exact.limit(min_exact).count() >= min_exact):
+    items = item_mean_hours(interactions)
+    if mode == "never":
+        return _join_titles(items, catalog)
+    items, catalog = materialize(items), materialize(catalog)  # one row per item or title, read several times
+    exact = _join_titles(items, catalog)
+    if mode == "auto" and exact.limit(min_exact).count() >= min_exact:
         return exact
-    rest = unmatched_items(interactions, catalog)
-    matches = materialize(title_matches(rest.select("item_clean"), catalog.select("title_clean"),
-                                        "item_clean", "title_clean", cutoff))
+    rest = _join_titles(items, catalog.select("title_clean"), "left_anti")
+    matches = materialize(title_matches(rest, catalog, "item_clean", "title_clean", cutoff))
     if matches.isEmpty():
         return exact
     near = rest.join(matches.select("item_clean", "title_clean"), "item_clean").join(catalog, "title_clean")
     both = exact.withColumn("_near", F.lit(0)).unionByName(near.withColumn("_near", F.lit(1)))
-    ordered = both.select("item_clean", "_near", *[c for c in exact.columns if c != "item_clean"])
-    return _first_per_key(ordered, "item_clean").select(*exact.columns)
+    ranked = both.select("item_clean", "_near", *[c for c in exact.columns if c != "item_clean"])
+    return _first_per_key(ranked, "item_clean").select(*exact.columns)
 
 
 def join_catalog_left(interactions: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -129,6 +133,21 @@ def join_catalog_raw(interactions: DataFrame, catalog: DataFrame, how: str = "in
     return interactions.join(named, "item", how)
 
 
+def join_catalog_raw_groups(interactions: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Rows and hours of the row-level join per item, behaviour, genre and developer.
+
+    Both sides are counted before they meet, so the pairs of log rows and equal titles are multiplied,
+    not formed.
+    """
+    log = where_keys(interactions, "item").groupBy("item", "behavior").agg(
+        F.count("*").alias("_rows"), F.sum("hours").alias("_hours"))
+    titles = where_keys(catalog, "title").groupBy(F.col("title").alias("item"), "genre", "developer").agg(
+        F.count("*").alias("_titles"))
+    return log.join(titles, "item").select(
+        "item", "behavior", "genre", "developer",
+        (F.col("_rows") * F.col("_titles")).alias("entries"), (F.col("_hours") * F.col("_titles")).alias("hours"))
+
+
 def engagement_score(metascore: Column, avg_hours: Column) -> Column:
     """Review score as a share, times damped playing time; a missing score counts 0."""
     return clip(F.coalesce(metascore, F.lit(0.0)), 0, 100) / 100 * F.log1p(clip(avg_hours, 0))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.clustering import KMeans
+from pyspark import inheritable_thread_target
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
@@ -17,35 +19,56 @@ from usagelens.session import materialize
 SEED = 42
 
 
-def kmeans_sweep(scaled: DataFrame, columns: Sequence[str] = ITEM_FEATURES, ks: Iterable[int] = range(2, 11),
-                 seed: int = SEED) -> DataFrame:
-    """Per k: inertia and mean silhouette. The silhouette uses squared Euclidean distance, which needs
-    one pass per k and no pairs."""
+def _per_k(scaled: DataFrame, columns: Sequence[str], ks: Iterable[int], seed: int, parallelism: int,
+           measures: dict[str, Callable]) -> DataFrame:
+    """Fit one model per k and measure it; only the measured numbers come to the driver.
+
+    The fits are independent, so several run at once and fill each other's gaps.
+    """
     spark = scaled.sparkSession
-    vectors = assembled(scaled, columns).select("features").persist()
+    vectors = assembled(materialize(scaled), columns).select("features").persist()
+
+    def fit(k: int) -> tuple:
+        model = KMeans(k=k, seed=seed).fit(vectors)
+        return (k, *[float(measure(model, vectors)) for measure in measures.values()])
+
     try:
-        rows = []
-        for k in ks:
-            model = KMeans(k=k, seed=seed).fit(vectors)
-            silhouette = ClusteringEvaluator().evaluate(model.transform(vectors))
-            rows.append((k, float(model.summary.trainingCost), float(silhouette)))
+        with ThreadPool(parallelism) as pool:
+            rows = pool.map(inheritable_thread_target(spark)(fit), list(ks))
     finally:
         vectors.unpersist()
-    return spark.createDataFrame(rows, "k int, inertia double, silhouette_sq double")
+    return spark.createDataFrame(rows, ", ".join(["k int", *[f"{name} double" for name in measures]]))
+
+
+def _inertia(model: KMeansModel, vectors: DataFrame) -> float:
+    return model.summary.trainingCost
+
+
+def _silhouette(model: KMeansModel, vectors: DataFrame) -> float:
+    """Mean silhouette by squared Euclidean distance, which takes one pass and no pairs."""
+    return ClusteringEvaluator().evaluate(model.transform(vectors))
+
+
+def kmeans_sweep(scaled: DataFrame, columns: Sequence[str] = ITEM_FEATURES, ks: Iterable[int] = range(2, 11),
+                 seed: int = SEED, parallelism: int = 4) -> DataFrame:
+    """Inertia and silhouette per k."""
+    return _per_k(scaled, columns, ks, seed, parallelism, {"inertia": _inertia, "silhouette_sq": _silhouette})
 
 
-def kmeans_elbow(scaled: DataFrame, **options) -> DataFrame:
-    return kmeans_sweep(scaled, **options).select("k", "inertia")
+def kmeans_elbow(scaled: DataFrame, columns: Sequence[str] = ITEM_FEATURES, ks: Iterable[int] = range(2, 11),
+                 seed: int = SEED, parallelism: int = 4) -> DataFrame:
+    return _per_k(scaled, columns, ks, seed, parallelism, {"inertia": _inertia})
 
 
-def kmeans_silhouette(scaled: DataFrame, **options) -> DataFrame:
-    return kmeans_sweep(scaled, **options).select("k", "silhouette_sq")
+def kmeans_silhouette(scaled: DataFrame, columns: Sequence[str] = ITEM_FEATURES, ks: Iterable[int] = range(2, 11),
+                      seed: int = SEED, parallelism: int = 4) -> DataFrame:
+    return _per_k(scaled, columns, ks, seed, parallelism, {"silhouette_sq": _silhouette})
 
 
 def item_clusters(scaled: DataFrame, columns: Sequence[str] = ITEM_FEATURES, k: int = 4,
                   seed: int = SEED) -> DataFrame:
     """Item and its cluster."""
-    vectors = assembled(scaled, columns)
+    vectors = assembled(materialize(scaled), columns)
     model = KMeans(k=k, seed=seed, predictionCol="cluster").fit(vectors)
     return model.transform(vectors).select("item", "cluster")
 

@@ -333,6 +333,12 @@ def _catalog() -> dict[str, str]:
     genre_columns = f"genre, total_players, round(total_hours, 6) AS total_hours, items, total_purchasers, {_r('avg_hours_per_player', 'purchase_ratio')}"
     joined = "item, round(avg_hours, 6) AS avg_hours, item_clean, title, title_clean, genre, developer, metascore, round(userscore, 6) AS userscore, release_year"
 
+    def raw_profile(join: str) -> str:
+        types = {"item": "string", "user_id": "bigint", "behavior": "string", "hours": "double",
+                 "genre": "string", "developer": "string"}
+        return _with(["a", "cat"], f", j AS (SELECT a.*, genre, developer FROM a {join} cat ON item = title) " + " UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, '{t}' AS data_type, count({c}) AS non_null FROM j" for c, t in types.items()))
+
     def best(score: str) -> str:
         rest = [c for c in ("title", "item", "avg_hours", "metascore", "userscore", "release_year", "genre",
                             "engagement_score", "quality_score") if c != score]
@@ -364,7 +370,9 @@ def _catalog() -> dict[str, str]:
             UNION ALL SELECT 'release_date', count(DISTINCT release_date), 5 FROM rawcat) ORDER BY distinct_values DESC, p LIMIT 1"""),
         "join_catalog_exact": _with(["joined"], f"SELECT {joined} FROM joined"),
         "join_catalog_left": _with(["usagegenre"], f"SELECT key, item, players, {_r('total_hours', 'avg_hours_per_player')}, purchasers, genre FROM usagegenre"),
-        "join_catalog_raw": _with(["a", "cat"], """SELECT item, behavior, genre, developer, count(*) AS entries, sum(hours) AS hours
+        "join_catalog_raw": raw_profile("JOIN"),
+        "join_catalog_raw_left": raw_profile("LEFT JOIN"),
+        "join_catalog_raw_groups": _with(["a", "cat"], """SELECT item, behavior, genre, developer, count(*) AS entries, sum(hours) AS hours
             FROM a JOIN cat ON item = title GROUP BY item, behavior, genre, developer"""),
         "unmatched_items": _with(["means", "missp"], """SELECT item, round(avg_hours, 6) AS avg_hours, item_clean FROM means
             WHERE item_clean NOT IN (SELECT title_clean FROM missp)"""),

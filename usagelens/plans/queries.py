@@ -144,11 +144,9 @@ def batch_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(spark.read.parquet(path))
 
 
-def raw_join_counts(log: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Rows and hours of the row-level join, which repeats log rows once per equal title."""
-    joined = cat.join_catalog_raw(log, catalog)
-    return joined.groupBy("item", "behavior", "genre", "developer").agg(
-        F.count("*").alias("entries"), F.sum("hours").alias("hours"))
+def raw_join_profile(log: DataFrame, catalog: DataFrame, how: str = "inner") -> DataFrame:
+    """Non-null values per column of the row-level join."""
+    return profile.profile_columns(cat.join_catalog_raw(log, catalog, how))
 
 
 def item_top_per_cluster(log: DataFrame) -> DataFrame:
@@ -289,7 +287,9 @@ def _catalog_queries() -> dict[str, Query]:
             part_catalog(spark, folder).withColumnRenamed("title", "label")),
         "join_catalog_exact": on_join(cat.join_catalog_exact),
         "join_catalog_left": on_join(cat.join_catalog_left),
-        "join_catalog_raw": on_join(raw_join_counts),
+        "join_catalog_raw": on_join(raw_join_profile),
+        "join_catalog_raw_left": on_join(raw_join_profile, how="left"),
+        "join_catalog_raw_groups": on_join(cat.join_catalog_raw_groups),
         "unmatched_items": on_misspelled(cat.unmatched_items),
         "join_catalog_fuzzy": on_misspelled(cat.join_catalog_fuzzy, mode="always"),
         "engagement_score": on_scores(lambda s: s.select(*scores, "avg_hours", "engagement_score")),
