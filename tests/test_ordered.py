@@ -75,7 +75,7 @@ def test_codes_follow_sorted_order(spark, many_slices):
     assert {r.t: r.c for r in codes.collect()} == {t: i for i, t in enumerate(sorted({t for t in titles if t}))}
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(0, 50), min_size=1, max_size=30), st.integers(1, 9))
 def test_gini_ignores_scale(spark, values, factor):
     def gini(scale):

@@ -2,7 +2,8 @@
 
 The matrix stays in long form, one row per (user, item) that occurs. Standardising it would make it
 dense, since every missing cell becomes -mean/deviation. All results below come from sums over the
-cells that exist plus per-item totals, so the dense matrix is never built.
+cells that exist plus per-item totals, so the dense matrix is never built. The cells, far fewer than
+log rows, are written to the shared folder once per query, since every step reads them again.
 """
 
 from __future__ import annotations
@@ -29,6 +30,11 @@ def encode_items(interactions: DataFrame) -> DataFrame:
     return ordered.dense_codes(interactions, "item", "item_code")
 
 
+def decode_items(coded: DataFrame, codes: DataFrame) -> DataFrame:
+    """Item names back from their numbers, with the frame `encode_items` gave."""
+    return coded.join(codes, "item_code", "left")
+
+
 def user_item_matrix(interactions: DataFrame) -> DataFrame:
     """Mean effective hours per (user, item). Purchases count as 0 hours, so a pair that was bought
     once and played once holds half its hours."""
@@ -51,36 +57,30 @@ def item_moments(matrix: DataFrame) -> DataFrame:
         "item", "mean", "variance")
 
 
-def _query_user(interactions: DataFrame, user_id: int | None) -> Column:
-    """The given user, or the first one of the log."""
-    return F.lit(user_id) if user_id is not None else interactions.agg(F.min("user_id")).scalar()
+def _query_user(matrix: DataFrame, user_id: int | None) -> Column:
+    """The given user, or the first one of the matrix."""
+    return F.lit(user_id) if user_id is not None else matrix.agg(F.min("user_id")).scalar()
 
 
-def similar_users(interactions: DataFrame, user_id: int | None = None, n: int = 4) -> DataFrame:
-    """The n users nearest to one user by cosine of standardised rows; lower id wins a tie.
+def _nearest(matrix: DataFrame, query: Column, n: int) -> DataFrame:
+    """The n users nearest to the query user by cosine of standardised rows.
 
     With z the standardised rows: z_u·z_q = Σ x_u x_q/σ² - b_u - b_q + c and |z_u|² = Σ x_u²/σ² - 2 b_u + c,
-    where b_u = Σ x_u μ/σ² and c = Σ μ²/σ². One pass over the matrix serves all users.
+    where b_u = Σ x_u μ/σ² and c = Σ μ²/σ². One pass over the cells serves all users.
     """
-    matrix = user_item_matrix(interactions)
-    query = _query_user(interactions, user_id)
     own = matrix.where(F.col("user_id") == query).select("item", F.col("hours").alias("own"))
     items = materialize(item_moments(matrix).join(own, "item", "left")
                         .withColumn("own", F.coalesce("own", F.lit(0.0))))
-    mean, variance = F.col("mean"), F.col("variance")
-    totals = items.agg(F.struct(
-        F.coalesce(F.sum(mean * mean / variance), F.lit(0.0)).alias("c"),
-        F.coalesce(F.sum(F.col("own") * mean / variance), F.lit(0.0)).alias("b"),
-        F.coalesce(F.sum(F.col("own") * F.col("own") / variance), F.lit(0.0)).alias("xx"))).scalar()
-
-    hours = F.col("hours")
-    cells = spread_join(matrix, items, ["item"], ["user_id"], how="left")
+    hours, own, mean, variance = (F.col(c) for c in ("hours", "own", "mean", "variance"))
 
     def total(term: Column) -> Column:
         return F.coalesce(F.sum(term), F.lit(0.0))
 
-    per_user = cells.groupBy("user_id").agg(
-        total(hours * F.col("own") / variance).alias("dot"),
+    totals = items.agg(F.struct(total(mean * mean / variance).alias("c"),
+                                total(own * mean / variance).alias("b"),
+                                total(own * own / variance).alias("xx"))).scalar()
+    per_user = spread_join(matrix, items, ["item"], ["user_id"], how="left").groupBy("user_id").agg(
+        total(hours * own / variance).alias("dot"),
         total(hours * hours / variance).alias("xx"),
         total(hours * mean / variance).alias("b"))
     product = F.col("dot") - F.col("b") - totals["b"] + totals["c"]
@@ -92,11 +92,19 @@ def similar_users(interactions: DataFrame, user_id: int | None = None, n: int =
     return top(scored, n, F.desc("similarity"), "neighbor_id")
 
 
+def similar_users(interactions: DataFrame, user_id: int | None = None, n: int = 4) -> DataFrame:
+    """The n users nearest to one user, by default to the first; the lower id wins a tie."""
+    matrix = materialize(user_item_matrix(interactions))
+    return _nearest(matrix, _query_user(matrix, user_id), n)
+
+
 def recommend_items(interactions: DataFrame, user_id: int | None = None, n: int = 4) -> DataFrame:
     """Items any of the nearest users played and the user did not; owned but unplayed ones included."""
-    played = user_item_matrix(interactions).where(F.col("hours") > 0)
-    near = similar_users(interactions, user_id, n).select(F.col("neighbor_id").alias("user_id"))
-    own = played.where(F.col("user_id") == _query_user(interactions, user_id)).select("item")
+    matrix = materialize(user_item_matrix(interactions))
+    query = _query_user(matrix, user_id)
+    near = _nearest(matrix, query, n).select(F.col("neighbor_id").alias("user_id"))
+    played = matrix.where(F.col("hours") > 0)
+    own = played.where(F.col("user_id") == query).select("item")
     theirs = played.join(F.broadcast(near), "user_id", "left_semi").select("item").distinct()
     return theirs.join(own, "item", "left_anti")
 
@@ -106,7 +114,7 @@ def scaled_cells(interactions: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Cells of a column without variance stay, as 0, so that no user gets lost. Cells are not centred.
     """
-    matrix = user_item_matrix(interactions)
+    matrix = materialize(user_item_matrix(interactions))
     moments = materialize(item_moments(matrix))
     columns = materialize(ordered.dense_codes(moments, "item", "item_code").join(moments, "item"))
     cells = spread_join(matrix, columns, ["item"], ["user_id"], how="left").select(

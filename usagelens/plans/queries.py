@@ -11,7 +11,7 @@ from usagelens.functions.text import clean_title, rating, year_in
 from usagelens.operators import catalog as cat
 from usagelens.operators import (cluster, distribution, features, neighbors, ownership, profile, retention,
                                  segments, usage)
-from usagelens.session import scratch_path
+from usagelens.session import materialize, scratch_path
 from usagelens.sources import files, shaping
 from usagelens.sources.adapters import event_interactions, order_interactions, part_catalog
 
@@ -150,7 +150,7 @@ def raw_join_profile(log: DataFrame, catalog: DataFrame, how: str = "inner") ->
 
 
 def item_top_per_cluster(log: DataFrame) -> DataFrame:
-    table = usage.item_feature_table(log)
+    table = materialize(usage.item_feature_table(log))
     return cluster.top_items_per_cluster(table, cluster.item_clusters(features.robust_scaled_features(table)))
 
 

@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usagelens.functions.numeric import nan_to_null
 from usagelens.schema import PLAY, PURCHASE
 
 
+def as_interactions(df: DataFrame, user_id: str, item: str, behavior: str, hours: str) -> DataFrame:
+    """Any log table to the column names and types of this package; NaN hours become NULL."""
+    return df.select(F.col(user_id).cast("bigint").alias("user_id"), F.col(item).cast("string").alias("item"),
+                     F.col(behavior).cast("string").alias("behavior"),
+                     nan_to_null(F.col(hours).cast("double")).alias("hours"))
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -25,18 +33,17 @@ def order_interactions(spark: SparkSession, folder: str) -> DataFrame:
     bought = F.struct(F.lit(PURCHASE).alias("behavior"), F.lit(1.0).alias("hours"))
     played = F.struct(F.lit(PLAY).alias("behavior"), F.col("l_quantity").alias("hours"))
     events = F.when(F.col("l_returnflag") != "R", F.array(bought, played)).otherwise(F.array(bought))
-    return joined.select(F.col("o_custkey").alias("user_id"), F.col("p_name").alias("item"),
-                         F.inline(events))
+    return as_interactions(joined.select("o_custkey", "p_name", F.inline(events)),
+                           "o_custkey", "p_name", "behavior", "hours")
 
 
 def event_interactions(spark: SparkSession, folder: str) -> DataFrame:
     """Purchases, and views and clicks as plays, with heavy-tailed hours."""
     events = _table(spark, folder, "events").where(F.col("event_type").isin("purchase", "view", "click"))
-    return events.select(
-        "user_id",
-        F.get_json_object("props", "$.k").alias("item"),
-        F.when(F.col("event_type") == "purchase", PURCHASE).otherwise(PLAY).alias("behavior"),
-        F.col("value").alias("hours"))
+    named = events.select(
+        "user_id", F.get_json_object("props", "$.k").alias("item"), "value",
+        F.when(F.col("event_type") == "purchase", PURCHASE).otherwise(PLAY).alias("behavior"))
+    return as_interactions(named, "user_id", "item", "behavior", "value")
 
 
 def part_catalog(spark: SparkSession, folder: str) -> DataFrame:
