@@ -102,3 +102,21 @@ def test_any_log_takes_the_same_shape(spark):
     assert log.schema.fieldNames() == INTERACTIONS.fieldNames()
     assert [f.dataType for f in log.schema] == [f.dataType for f in INTERACTIONS]
     assert column(log, "hours") == [None, 2.0]
+
+
+def test_ragged_files(spark, tmp_path):
+    path = _write(tmp_path / "r.csv", 'h1,h2\n1,"x, y",3\n2\n')
+    assert [tuple(r) for r in files.read_ragged_csv(spark, path).collect()] == [("1", "x, y", "3"), ("2", "", "")]
+    assert files.read_ragged_csv(spark, path, header=False).count() == 3
+    assert files.read_ragged_csv(spark, path, width=2).columns == ["col1", "col2"]
+
+
+def test_csv_to_typed_table(spark, tmp_path):
+    path = _write(tmp_path / "t.csv", 'a b,a b,9x\n1,"1,5",x\n,2,\n')
+    df = files.read_typed_csv(spark, path)
+    assert df.dtypes == [("a_b", "bigint"), ("a_b_2", "double"), ("_9x", "string")]
+    files.save_typed_table(df, "typed_sample")
+    try:
+        assert sorted(map(str, spark.table("typed_sample").collect())) == sorted(map(str, df.collect()))
+    finally:
+        spark.sql("DROP TABLE typed_sample")

@@ -135,7 +135,7 @@ def user_clusters(interactions: DataFrame, k: int = 3, seed: int = SEED) -> Data
         "user_id", "cluster")
 
 
-def user_pca(interactions: DataFrame, k: int = 2, max_dense_width: int = 2048) -> DataFrame:
+def user_pca(interactions: DataFrame, k: int = 2, max_dense_width: int = 2048, **wide_options) -> DataFrame:
     """Users on the first k principal components of the standardised matrix.
 
     Spark's PCA brings a matrix of width x width to the driver. That is kept to widths up to
@@ -144,7 +144,7 @@ def user_pca(interactions: DataFrame, k: int = 2, max_dense_width: int = 2048) -
     cells, columns = scaled_cells(interactions)
     width = columns.count()
     if width > max_dense_width:
-        return wide_projection(materialize(cells), columns, k)
+        return wide_projection(materialize(cells), columns, k, **wide_options)
     vectors = _vectors(cells, width)
     model = PCA(k=k, inputCol="features", outputCol="projected").fit(vectors)
     place = vector_to_array(F.col("projected"))

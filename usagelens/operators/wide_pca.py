@@ -44,6 +44,17 @@ def _multiply(cells: DataFrame, columns: DataFrame, basis: DataFrame, names: lis
     return materialize(columns.join(back, "item"))
 
 
+def _leading_directions(product: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues, largest first, and eigenvectors of the b x b inner products of the block."""
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = product.agg(*[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs]).first()
+    gram = np.zeros((len(names), len(names)))
+    for (i, j), value in zip(pairs, sums):
+        gram[i, j] = gram[j, i] = value
+    squares, turns = np.linalg.eigh(gram)
+    return squares[::-1], turns[:, ::-1]
+
+
 def wide_components(cells: DataFrame, columns: DataFrame, k: int = 2, oversample: int = 8, tolerance: float = 1e-8,
                     max_rounds: int = 100) -> DataFrame:
     """Loadings (item, center, v0..) of the first k components.
@@ -51,24 +62,22 @@ def wide_components(cells: DataFrame, columns: DataFrame, k: int = 2, oversample
     `cells`: user_id, item, scaled; `columns`: item, center. Fails if the variances still move after
     `max_rounds`.
     """
-    b = min(k + oversample, columns.count())
-    names = _names(b)
+    names = _names(min(k + oversample, columns.count()))
     columns = columns.select("item", "center")
     start = [(F.xxhash64("item", F.lit(j)) / float(2 ** 63)).alias(n) for j, n in enumerate(names)]
     basis = materialize(columns.select("item", "center", *start))
+    cells = cells.select("user_id", "item", "scaled")
     last = None
     for _ in range(max_rounds):
         product = _multiply(cells, columns, basis, names)
-        pairs = [(i, j) for i in range(b) for j in range(i, b)]
-        sums = product.agg(*[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs]).first()
-        gram = np.zeros((b, b))
-        for (i, j), value in zip(pairs, sums):
-            gram[i, j] = gram[j, i] = value
-        squares, turns = np.linalg.eigh(gram)
-        order = np.argsort(squares)[::-1]
-        squares, turns = np.maximum(squares[order], 1e-300), turns[:, order]
-        basis = product.select("item", "center", *_mix(names, turns / np.sqrt(squares), names))
-        leading = np.sqrt(squares[:k])
+        squares, turns = _leading_directions(product, names)
+        # Directions the data does not have at all would only add noise; the first k always stay.
+        present = squares > squares[0] * 1e-13
+        kept = max(k, int(present.sum()))
+        scale = np.where(present, 1 / np.sqrt(np.where(present, squares, 1)), 0.0)
+        basis = product.select("item", "center", *_mix(names, (turns * scale)[:, :kept], names[:kept]))
+        names = names[:kept]
+        leading = np.sqrt(np.where(present, squares, 0))[:k]
         if last is not None and np.all(np.abs(leading - last) <= tolerance * leading):
             return basis.select("item", "center", *names[:k])
         last = leading

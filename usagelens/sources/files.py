@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from usagelens.functions.numeric import to_double
 from usagelens.schema import ENCODINGS, RAW_INTERACTIONS
-from usagelens.sources.shaping import normalize_column_names
+from usagelens.sources.shaping import (cast_inferred_types, normalize_column_names, pad_ragged_rows,
+                                       sanitized_names)
 
 _QUOTING = {"quote": '"', "escape": '"'}
 
@@ -33,10 +34,28 @@ def scan_catalog(spark: SparkSession, path: str, keep: Sequence[str] = ("genre",
     return df.select(F.col(f"`{df.columns[0]}`").alias("title"), *keep)
 
 
+def read_lines(spark: SparkSession, path: str, header: bool = False, encoding: str = "utf-8") -> DataFrame:
+    """Records of a text file, unsplit; `header` leaves out the first record of each file. Empty lines
+    are no records."""
+    return spark.read.options(encoding=encoding, sep="\u0001", quote="", header=header, enforceSchema=True).csv(
+        path, schema="value string")
+
+
+def read_ragged_csv(spark: SparkSession, path: str, header: bool = True, width: int | None = None) -> DataFrame:
+    """Records of differing length as text columns by position, as wide as the longest record."""
+    return pad_ragged_rows(read_lines(spark, path, header), width=width)
+
+
+def read_typed_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header to a table with usable column names and the types its values allow."""
+    names = spark.read.options(**_QUOTING).csv(path, header=False).first()
+    df = spark.read.options(**_QUOTING).csv(path, header=True)
+    return cast_inferred_types(df.toDF(*sanitized_names([name or "" for name in names])))
+
+
 def _decodes(spark: SparkSession, path: str, encoding: str) -> bool:
     """False once any record holds the replacement mark the decoder leaves for bad bytes."""
-    lines = spark.read.options(encoding=encoding, sep="\u0001", quote="").csv(path, schema="line string")
-    return lines.where(F.contains("line", F.lit("\ufffd"))).isEmpty()
+    return read_lines(spark, path, encoding=encoding).where(F.contains("value", F.lit("\ufffd"))).isEmpty()
 
 
 def read_csv_tolerant(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
