@@ -15,7 +15,7 @@ def _titles(n=120, seed=3):
     rng = random.Random(seed)
     words = ["star", "war", "the", "of", "edition", "craft", "ring", "aaaa", "zone", "x", "7", "über", "quest"]
     base = {" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(n)}
-    base |= {"call of duty modern warfare " + str(rng.randint(0, 10 ** 9)) for _ in range(n // 3)}
+    base = sorted(base | {"call of duty modern warfare " + str(rng.randint(0, 10 ** 9)) for _ in range(n // 3)})
     result = set(base)
     for title in base:
         chars = list(title)

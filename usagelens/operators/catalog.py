@@ -91,7 +91,7 @@ def join_catalog_exact(interactions: DataFrame, catalog: DataFrame) -> DataFrame
 
 
 def unmatched_items(interactions: DataFrame, catalog: DataFrame) -> DataFrame:
-    return _join_titles(item_mean_hours(interactions), catalog.select("title_clean"), "left_anti")
+    return _join_titles(item_mean_hours(interactions), catalog.select("title_clean").distinct(), "left_anti")
 
 
 def join_catalog_fuzzy(interactions: DataFrame, catalog: DataFrame, cutoff: float = 0.93,
@@ -110,7 +110,7 @@ def join_catalog_fuzzy(interactions: DataFrame, catalog: DataFrame, cutoff: floa
     exact = _join_titles(items, catalog)
     if mode == "auto" and exact.limit(min_exact).count() >= min_exact:
         return exact
-    rest = _join_titles(items, catalog.select("title_clean"), "left_anti")
+    rest = _join_titles(items, catalog.select("title_clean").distinct(), "left_anti")
     matches = materialize(title_matches(rest, catalog, "item_clean", "title_clean", cutoff))
     if matches.isEmpty():
         return exact

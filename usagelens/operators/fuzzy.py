@@ -2,9 +2,12 @@
 
 The similarity is 2·M / (|a| + |b|), with M the characters in matching blocks. At similarity c or
 more, a and b differ by at most (1 - c)·(|a| + |b|) inserted or deleted characters, and each of those
-destroys at most q of a title's q-grams. So among the rarest q·d + 1 q-grams of either title, with d
-the most edits its length allows, at least one must be common to both (prefix filtering, as in the
-published set-similarity joins). Pairs that share no rare q-gram are never formed, and none is lost.
+destroys at most q of a title's q-grams and moves the others by at most one place. Order all q-grams
+by rarity: fewer than q·d + 1 of a title come before the rarest one that survives in both, with d the
+most edits the title's length allows. So both titles keep that q-gram when each keeps those ranked up
+to q·d + 1, ties included, and its places differ by at most the pair's edits (prefix and position
+filtering, as in the published similarity joins). Pairs without such a q-gram are never formed, and no
+pair is lost.
 """
 
 from __future__ import annotations
@@ -32,22 +35,30 @@ def most_edits(length: Column, cutoff: float) -> Column:
     return F.floor(length * (2 * (1 - cutoff) / cutoff) + 1e-9).cast("int")
 
 
+def letters_in_common(a: Column, b: Column) -> Column:
+    """Letters two titles share in any order, repeats counted: never less than their matching blocks."""
+    def times(text: Column, letter: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, letter, F.lit("")))
+
+    return F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0),
+                       lambda seen, letter: seen + F.least(times(a, letter), times(b, letter)))
+
+
 def _grams(titles: DataFrame, title: str, q: int) -> DataFrame:
-    """Rows (title, gram, copy): `copy` numbers repeats of a gram inside its title."""
+    """Rows (title, place, gram)."""
     starts = F.sequence(F.lit(1), F.length(title) - q + 1)
     cut = F.transform(starts, lambda i: F.substring(F.col(title), i, F.lit(q)))
-    grams = titles.where(F.length(title) >= q).select(title, F.posexplode(cut).alias("_pos", "gram"))
-    same = Window.partitionBy(title, "gram").orderBy("_pos")
-    return grams.select(title, "gram", F.row_number().over(same).alias("copy"))
+    return titles.where(F.length(title) >= q).select(title, F.posexplode(cut).alias("place", "gram"))
 
 
 def _rare_grams(grams: DataFrame, frequency: DataFrame, title: str, q: int, cutoff: float) -> DataFrame:
-    """The rarest grams of each title, as many as prefix filtering asks for."""
-    counted = spread_join(grams, frequency, ["gram", "copy"], [title])
-    by_rarity = Window.partitionBy(title).orderBy("frequency", "gram", "copy")
-    ranked = counted.withColumn("_rank", F.row_number().over(by_rarity))
+    """The rarest grams of each title, as many as the filter asks for."""
+    counted = spread_join(grams, frequency, ["gram"], [title, "place"])
+    by_rarity = Window.partitionBy(title).orderBy("frequency", "gram")
+    ranked = counted.withColumn("_rank", F.rank().over(by_rarity))
     edits = most_edits(F.length(title), cutoff)
-    return ranked.where((edits >= 1) & (F.col("_rank") <= edits * q + 1)).select(title, "gram", "copy")
+    return ranked.where((edits >= 1) & (F.col("_rank") <= edits * q + 1)).select(
+        title, "gram", F.col("place").alias(f"{title}_place"))
 
 
 @F.pandas_udf(DoubleType())
@@ -67,13 +78,17 @@ def candidate_pairs(words: DataFrame, options: DataFrame, word: str, option: str
     """Distinct pairs that may reach the cutoff; no pair that reaches it with unequal titles is missing."""
     q = gram_size(cutoff)
     word_grams, option_grams = _grams(words, word, q), _grams(options, option, q)
-    frequency = (word_grams.select("gram", "copy").unionAll(option_grams.select("gram", "copy"))
-                 .groupBy("gram", "copy").agg(F.count("*").alias("frequency")))
+    frequency = (word_grams.select("gram").unionAll(option_grams.select("gram"))
+                 .groupBy("gram").agg(F.count("*").alias("frequency")))
     rare_words = _rare_grams(word_grams, frequency, word, q, cutoff)
     rare_options = _rare_grams(option_grams, frequency, option, q, cutoff)
-    longest_match = F.least(F.length(word), F.length(option)) * 2.0
-    fits = longest_match / (F.length(word) + F.length(option)) >= cutoff - 1e-9
-    return rare_words.join(rare_options, ["gram", "copy"]).where(fits).select(word, option).distinct()
+    # The edits of the pair bound the difference in length as well as in place.
+    edits = (F.length(word) + F.length(option)) * (1 - cutoff) + 1e-9
+    near = ((F.abs(F.length(word) - F.length(option)) <= edits)
+            & (F.abs(F.col(f"{word}_place") - F.col(f"{option}_place")) <= edits))
+    pairs = rare_words.join(rare_options, "gram").where(near).select(word, option).distinct()
+    return pairs.where(letters_in_common(F.col(word), F.col(option)) * 2
+                       >= (F.length(word) + F.length(option)) * cutoff - 1e-9)
 
 
 def title_matches(words: DataFrame, options: DataFrame, word: str, option: str,

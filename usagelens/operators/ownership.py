@@ -97,7 +97,7 @@ def top_items_by_activation(interactions: DataFrame, min_owners: int = 20, n: in
 def non_owners(interactions: DataFrame, item: str) -> DataFrame:
     """Users of the log who did not buy the item."""
     users = interactions.where(F.col("user_id").isNotNull()).select("user_id").distinct()
-    owners = purchases(interactions).where(F.col("item") == item).select("user_id")
+    owners = purchases(interactions).where(F.col("item") == item).select("user_id").distinct()
     return users.join(owners, "user_id", "left_anti")
 
 
