@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm import simhash
-from usagelens.llm.common import table
+from usagelens.llm import decontaminate, langid, merkle, mixing, pii, simhash
+from usagelens.llm.common import held_out, table, trained_on
 
 
 def op1_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +16,66 @@ def op1_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_all(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[pii.count_kind(F.col("base"), k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)],
+                        F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
+                        pii.spans_text(F.col("spans")).alias("spans"))
+
+
+def op3_language_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.languages(docs, docs.where(trained_on(F.col("doc_id"), 3, 1)))
+    return found.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op4_mix_waterfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = mixing.mix(table(spark, sf_dir, "documents"))
+    return dealt.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP4_SQL = r"""
+WITH rows AS (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
+), sources AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place
+    FROM rows GROUP BY source
+), asked AS (
+    SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 2 * source_size AS cap FROM sources
+), ordered AS (
+    SELECT *, sum(cap) OVER w - cap AS cap_before, sum(weight) OVER w - weight AS weight_before,
+           sum(source_size) OVER () AS total, sum(weight) OVER () AS weights
+    FROM asked WINDOW w AS (ORDER BY CAST(cap AS DOUBLE) / weight, place ROWS UNBOUNDED PRECEDING)
+), filled AS (
+    SELECT source, source_size, least(CAST(cap AS DOUBLE), weight * max(
+        (1.5 * CAST(total AS DOUBLE) - CAST(cap_before AS DOUBLE)) / CAST(weights - weight_before AS DOUBLE)) OVER ()) AS target
+    FROM ordered
+), dealt AS (
+    SELECT doc_id, size, source_size, target,
+           CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole,
+           CAST(sum(size) OVER (PARTITION BY source ORDER BY md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'none')), doc_id
+                                ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS before
+    FROM rows JOIN filled ON rows.source IS NOT DISTINCT FROM filled.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(whole * size + greatest(0, least(size,
+       floor(target - whole * source_size) - before)) AS BIGINT) AS taken
+FROM dealt
+"""
+
+
+def op5_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in (op1_simhash_vptree,)}
+    return {query.__name__: query for query in (
+        op1_simhash_vptree, op2_pii_sanitise, op3_language_centroid, op4_mix_waterfill,
+        op5_spaced_seed_decontamination, op6_merkle_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mix_waterfill": OP4_SQL}
