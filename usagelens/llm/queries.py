@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm import decontaminate, langid, merkle, mixing, pii, simhash
+from usagelens.llm import decontaminate, langid, lbl, merkle, mixing, pii, simhash
 from usagelens.llm.common import held_out, table, trained_on
 
 
@@ -53,7 +53,7 @@ WITH rows AS (
 ), dealt AS (
     SELECT doc_id, size, source_size, target,
            CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole,
-           CAST(sum(size) OVER (PARTITION BY source ORDER BY md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'none')), doc_id
+           CAST(sum(size) OVER (PARTITION BY rows.source ORDER BY md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'none')), doc_id
                                 ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS before
     FROM rows JOIN filled ON rows.source IS NOT DISTINCT FROM filled.source
 )
@@ -71,10 +71,16 @@ def op6_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_lbl_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lbl.score(table(spark, sf_dir, "documents"), trained_on(F.col("doc_id"), 7, 2))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {query.__name__: query for query in (
         op1_simhash_vptree, op2_pii_sanitise, op3_language_centroid, op4_mix_waterfill,
-        op5_spaced_seed_decontamination, op6_merkle_fingerprint)}
+        op5_spaced_seed_decontamination, op6_merkle_fingerprint, op7_lbl_score)}
 
 
 def oracle_sql() -> dict[str, str]:
