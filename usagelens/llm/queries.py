@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm import decontaminate, langid, lbl, merkle, mixing, pii, simhash
+from usagelens.llm import crf, decontaminate, langid, lbl, merkle, mixing, pii, simhash
 from usagelens.llm.common import held_out, table, trained_on
 
 
@@ -77,10 +77,16 @@ def op7_lbl_score(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_score", "score")
 
 
+def op8_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(trained_on(F.col("doc_id"), 4, 2))
+    scored = crf.score(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {query.__name__: query for query in (
         op1_simhash_vptree, op2_pii_sanitise, op3_language_centroid, op4_mix_waterfill,
-        op5_spaced_seed_decontamination, op6_merkle_fingerprint, op7_lbl_score)}
+        op5_spaced_seed_decontamination, op6_merkle_fingerprint, op7_lbl_score, op8_crf_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
