@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm import crf, decontaminate, langid, lbl, merkle, mixing, pii, simhash
+from usagelens.llm import crf, decontaminate, langid, lbl, merkle, mixing, pii, simhash, urlfilter
 from usagelens.llm.common import held_out, table, trained_on
 
 
@@ -83,11 +83,35 @@ def op8_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
 
 
+def op9_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+OP9_SQL = r"""
+WITH urls AS (
+    SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages
+), rules(action, rule_host, rule_path) AS (
+    VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+), numbered AS (
+    SELECT *, row_number() OVER () AS n FROM urls
+), fitting AS (
+    SELECT n, action, rule_host || rule_path AS rule,
+           row_number() OVER (PARTITION BY n ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS place
+    FROM numbered JOIN rules ON (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict
+FROM numbered LEFT JOIN (SELECT * FROM fitting WHERE place = 1) USING (n)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {query.__name__: query for query in (
         op1_simhash_vptree, op2_pii_sanitise, op3_language_centroid, op4_mix_waterfill,
-        op5_spaced_seed_decontamination, op6_merkle_fingerprint, op7_lbl_score, op8_crf_quality)}
+        op5_spaced_seed_decontamination, op6_merkle_fingerprint, op7_lbl_score, op8_crf_quality, op9_bloom_cascade)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_waterfill": OP4_SQL}
+    return {"op4_mix_waterfill": OP4_SQL, "op9_bloom_cascade": OP9_SQL}
