@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm import crf, decontaminate, langid, lbl, merkle, mixing, pii, simhash, urlfilter
+import corpus_pipeline
+from usagelens.llm import crf, decontaminate, langid, lbl, licences, merkle, mixing, pii, simhash, urlfilter
 from usagelens.llm.common import held_out, table, trained_on
 
 
@@ -107,10 +108,15 @@ FROM numbered LEFT JOIN (SELECT * FROM fitting WHERE place = 1) USING (n)
 """
 
 
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in (
+    named = {query.__name__: query for query in (
         op1_simhash_vptree, op2_pii_sanitise, op3_language_centroid, op4_mix_waterfill,
-        op5_spaced_seed_decontamination, op6_merkle_fingerprint, op7_lbl_score, op8_crf_quality, op9_bloom_cascade)}
+        op5_spaced_seed_decontamination, op6_merkle_fingerprint, op7_lbl_score, op8_crf_quality, op9_bloom_cascade, op10_licence_scan)}
+    return named | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
