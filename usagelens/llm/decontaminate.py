@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from usagelens.llm.common import save
 
-# Fixed masks: 1 places are compared, 0 places ignored. A substitution hits both masks at few offsets only.
-MASKS = ("1101100101", "1010011011")
+# Fixed masks, as distances between two pairs of adjacent tokens: 3 is the mask 11011, 4 is 110011. A
+# substitution on an ignored place, or beside the mask, leaves the hash as it is.
+GAPS = (3, 4)
 MIN_TOKENS = 12
 MIN_EQUAL = 0.8
 PENALTY = 2
@@ -32,20 +33,42 @@ def tokens(text: Column) -> Column:
     return F.transform(words, lambda word: F.xxhash64(word))
 
 
-def seed_hashes(held: Column, mask: str) -> Column:
-    """Hash of the masked tokens at each place of a token array; none when it is shorter than the mask."""
-    used = [k for k, sign in enumerate(mask) if sign == "1"]
-    places = F.sequence(F.lit(0), F.size(held) - F.lit(len(mask)))
-    hashed = F.transform(places, lambda i: F.xxhash64(F.lit(mask), *[F.get(held, i + k) for k in used]))
-    return F.when(F.size(held) >= len(mask), hashed)
+def _run_hashes(held: Column, length: int) -> Column:
+    """Hash of each run of `length` tokens."""
+    places = F.sequence(F.lit(0), F.size(held) - F.lit(length))
+    hashed = F.transform(places, lambda i: F.xxhash64(F.lit(-length), *[F.get(held, i + k) for k in range(length)]))
+    return F.when(F.size(held) >= length, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
-def _places(df: DataFrame, masks: Sequence[str], hashes: str, place: str) -> DataFrame:
-    """One row per mask and place of `df(held)`: its hash and position."""
-    arrays = F.concat(*[F.coalesce(F.transform(seed_hashes(F.col("held"), mask),
-                                               lambda h, i: F.struct(h.alias(hashes), i.alias(place))),
-                                   F.array().cast(f"array<struct<{hashes}:bigint,{place}:int>>")) for mask in masks])
-    return df.select("*", F.inline(arrays))
+def _zip_hash(left: Column, right: Column, *more: Column) -> Column:
+    return F.zip_with(left, right, lambda a, b: F.xxhash64(a, b, *more))
+
+
+def _places(df: DataFrame, gaps: Sequence[int], runs: Sequence[int], seed: str, place: str) -> DataFrame:
+    """One row per mask and place of `df(held)`: its seed hash and position.
+
+    A seed is the hash of two pair hashes, so each token costs one small hash per mask, whatever the mask's span.
+    """
+    held, n = F.col("held"), F.size("held")
+    paired = df.withColumn("_pairs", F.when(n >= 2, _zip_hash(F.slice(held, F.lit(1), n - 1), F.slice(held, F.lit(2), n - 1)))
+                           .otherwise(F.array().cast("array<bigint>")))
+    pairs, m = F.col("_pairs"), F.greatest(n - 1, F.lit(0))
+    arrays, sizes = [], []
+    for gap in gaps:
+        size = F.greatest(m - gap, F.lit(0))
+        arrays.append(_zip_hash(F.slice(pairs, F.lit(1), size), F.slice(pairs, F.lit(gap + 1), size), F.lit(gap)))
+        sizes.append(size)
+    for length in runs:
+        arrays.append(_run_hashes(held, length))
+        sizes.append(F.greatest(n - length + 1, F.lit(0)))
+    dealt = paired.select(*df.columns, F.posexplode(F.concat(*arrays)).alias("_at", seed))
+    # The arrays lie one after the other: back to the place within its own.
+    at = F.col("_at")
+    before, choice = F.lit(0), None
+    for size in sizes:
+        choice = (F.when(at < before + size, at - before) if choice is None else choice.when(at < before + size, at - before))
+        before = before + size
+    return dealt.withColumn(place, choice).drop("_at")
 
 
 def best_stretch(equal: Column, penalty: int = PENALTY) -> Column:
@@ -72,14 +95,13 @@ def best_stretch(equal: Column, penalty: int = PENALTY) -> Column:
         s["score"].alias("score"), s["equal"].alias("equal"), s["first"].alias("first"), s["last"].alias("last")))
 
 
-def masks_for(items: DataFrame, masks: Sequence[str] = MASKS) -> list[str]:
-    """The masks, and for items shorter than those a full mask of each such length."""
-    shortest = min(len(mask) for mask in masks)
-    lengths = items.where(F.size("held").between(1, shortest - 1)).select(F.size("held").alias("n")).distinct().collect()
-    return [*masks, *["1" * row["n"] for row in lengths]]  # at most `shortest` rows
+def short_runs(items: DataFrame, gaps: Sequence[int] = GAPS) -> list[int]:
+    """Token numbers of items too short for any mask; such items are met as whole runs."""
+    lengths = items.where(F.size("held") < min(gaps) + 2).select(F.size("held").alias("n")).distinct().collect()
+    return sorted(row["n"] for row in lengths)  # fewer than the shortest mask
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS, min_tokens: int = MIN_TOKENS,
+def overlaps(docs: DataFrame, benchmark: DataFrame, gaps: Sequence[int] = GAPS, min_tokens: int = MIN_TOKENS,
              min_equal: float = MIN_EQUAL) -> DataFrame:
     """One row per contaminated (doc_id, item_id): the best stretch, with its tokens, equal tokens and place.
 
@@ -88,12 +110,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS
     good stretches the first in the document counts; rows without id carry NULL; extra columns are ignored.
     """
     items = save(benchmark.select("item_id", tokens(F.col("text")).alias("held")).where(F.size("held") > 0), "items")
-    masks = masks_for(items, masks)
-    seeds = save(_places(items, masks, "seed", "item_place").withColumnRenamed("held", "item_tokens").distinct(), "seeds")
+    runs = short_runs(items, gaps)
+    seeds = save(_places(items, gaps, runs, "seed", "item_place").withColumnRenamed("held", "item_tokens").distinct(), "seeds")
     if seeds.count() <= BROADCAST_ROWS:  # checked size; a larger test set is met by a shuffle
         seeds = F.broadcast(seeds)
     held = docs.select("doc_id", tokens(F.col("text")).alias("held"))
-    hits = _places(held, masks, "seed", "place").join(seeds, "seed")
+    hits = _places(held, gaps, runs, "seed", "place").join(seeds, "seed")
     # The document's tokens under the item, clipped to the document, and where the item's first token would lie.
     shift = F.col("place") - F.col("item_place")
     low = F.greatest(shift, F.lit(0))
