@@ -98,3 +98,20 @@ def test_report_and_its_files(spark, rows, raw, tmp_path):
     write_catalog_report(report, str(tmp_path))
     assert spark.read.csv(f"{tmp_path}/top_quality", header=True).count() == 3
     assert spark.read.json(f"{tmp_path}/insights").first().joined_items == 3
+
+
+def test_other_catalogue_columns_stay(spark, log):
+    raw = spark.createDataFrame([("foo", "80", 3.5, "x")], "title string, metascore string, price double, item string")
+    shaped = cat.shape_catalog(raw)
+    assert shaped.columns[-2:] == ["price", "item_catalog"]
+    joined = cat.join_catalog_exact(log((1, "foo", "play", 2)), shaped).first()
+    assert (joined.price, joined.item_catalog, joined["item"]) == (3.5, "x", "foo")
+
+
+def test_profile_of_the_row_level_join_equals_its_rows(spark, log):
+    from usagelens.operators.profile import profile_columns
+    rows = log((1, "foo", "play", 2), (2, "foo", "play", None), (3, "bar", "purchase", 1), (4, None, "play", 1))
+    titles = cat.shape_catalog(spark.createDataFrame([("foo", "A"), ("foo", None), ("x", "B")], "title string, genre string"))
+    for how in ("inner", "left"):
+        formed = profile_columns(cat.join_catalog_raw(rows, titles, how))
+        assert sorted(cat.join_catalog_raw_profile(rows, titles, how).collect()) == sorted(formed.collect())

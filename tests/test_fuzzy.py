@@ -75,26 +75,40 @@ def tables(spark, log):
     return rows, catalog.shape_catalog(titles)
 
 
-def test_exact_join_fans_out_until_a_near_title_is_found(tables):
+def test_near_titles_and_rows_per_item_are_the_callers_choice(tables):
     rows, titles = tables
-    exact = catalog.join_catalog_fuzzy(rows, titles, mode="never")
-    assert sorted(column(exact, "genre")) == ["C", "D"]
-    both = catalog.join_catalog_fuzzy(rows, titles, mode="always")
-    assert {r["item"]: r.genre for r in both.collect()} == {"Old Gear": "C", "Small Ring": "A"}
+    assert sorted(column(catalog.join_catalog_fuzzy(rows, titles, near=False, one_row_per_item=False), "genre")) == ["C", "D"]
+    assert column(catalog.join_catalog_fuzzy(rows, titles, near=False), "genre") == ["C"]
+    assert {r["item"]: r.genre for r in catalog.join_catalog_fuzzy(rows, titles).collect()} == {"Old Gear": "C", "Small Ring": "A"}
+    every = catalog.join_catalog_fuzzy(rows, titles, one_row_per_item=False)
+    assert sorted(column(every, "genre")) == ["A", "B", "C", "D"]
+    # Nothing that was found elsewhere changes the rows of an item.
+    rows = rows.where(F.col("item") != "Small Ring")
+    assert column(catalog.join_catalog_fuzzy(rows, titles), "genre") == ["C"]
 
 
-def test_only_equal_titles_keep_the_fan_out(tables):
-    rows, titles = tables
-    rows = rows.where(F.col("item") != "Small Ring")
-    assert catalog.join_catalog_fuzzy(rows, titles, mode="always").count() == 2
+def test_an_order_column_decides_between_equal_titles(spark, log):
+    raw = spark.createDataFrame([("old gear", "A", 2), ("old gear", "B", 1)], "title string, genre string, record int")
+    titles = catalog.shape_catalog(raw)
+    rows = log((1, "Old Gear", "play", 1))
+    assert column(catalog.join_catalog_fuzzy(rows, titles, order="record"), "genre") == ["B"]
+    assert column(catalog.dedupe_catalog(titles, "record"), "genre") == ["B"]
 
 
-def test_enough_exact_rows_skip_the_search(tables):
-    rows, titles = tables
-    assert catalog.join_catalog_fuzzy(rows, titles, min_exact=2).count() == 2
-    assert {r["item"] for r in catalog.join_catalog_fuzzy(rows, titles, min_exact=3).collect()} == {"Old Gear", "Small Ring"}
+def test_long_titles_with_several_edits_are_not_lost(spark):
+    rng = random.Random(5)
+    letters = "abcdefghij "
+    titles = ["".join(rng.choice(letters) for _ in range(rng.randint(20, 60))).strip() for _ in range(150)]
 
+    def edited(title):
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(title))
+            title = title[:at] + rng.choice(["", rng.choice(letters), title[at] + rng.choice(letters)]) + title[at + 1:]
+        return title
 
-def test_unknown_mode(tables):
-    with pytest.raises(ValueError):
-        catalog.join_catalog_fuzzy(*tables, mode="sometimes")
+    words = sorted({edited(t) for t in titles})
+    ratio = lambda w, o: SequenceMatcher(None, o, w).ratio()
+    wanted = {(w, o) for w in words for o in titles if w != o and ratio(w, o) >= 0.93}
+    pairs = fuzzy.candidate_pairs(spark.createDataFrame([(w,) for w in words], "w string"),
+                                  spark.createDataFrame([(o,) for o in sorted(set(titles))], "o string"), "w", "o", 0.93)
+    assert len(wanted) > 20 and wanted <= {(r.w, r.o) for r in pairs.collect()}

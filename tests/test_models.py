@@ -121,10 +121,20 @@ def test_user_components(events, dense):
     assert np.allclose(np.abs(places), np.abs(expected), atol=1e-6)
 
 
-def test_wide_matrices_give_the_same_places(events):
-    narrow = neighbors.user_pca(events).toPandas().set_index("user_id").sort_index()
-    wide = neighbors.user_pca(events, max_dense_width=10, oversample=13).toPandas().set_index("user_id").sort_index()
-    assert np.allclose(narrow, wide, atol=1e-6)
+def test_places_do_not_depend_on_the_block(events):
+    usual = neighbors.user_pca(events).toPandas().set_index("user_id").sort_index()
+    wide = neighbors.user_pca(events, oversample=13).toPandas().set_index("user_id").sort_index()
+    assert np.allclose(usual, wide, atol=1e-6)
+
+
+def test_an_unknown_user_has_no_neighbours(events):
+    assert neighbors.similar_users(events, -5).collect() == [] and neighbors.recommend_items(events, -5).collect() == []
+
+
+def test_unsettled_clusters_are_an_error(events):
+    cells, columns = neighbors.scaled_cells(events)
+    with pytest.raises(RuntimeError):
+        cluster.fitted_kmeans(neighbors._vectors(cells, columns.count()), 5, max_iter=1)
 
 
 def test_wide_components_say_when_they_do_not_settle(events):

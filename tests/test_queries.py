@@ -7,9 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from usagelens.plans import oracle, queries
 from tests.conftest import SAMPLE
 
-QUERIES, ORACLE = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, ORACLE = queries.queries(), oracle.oracle_sql()
 ROWS_ONLY = {"kmeans_elbow", "kmeans_silhouette", "item_clusters", "item_clusters_zscore", "top_items_per_cluster",
              "item_pca", "item_pca_components", "user_clusters", "user_pca"}
 

@@ -11,7 +11,7 @@ def _write(path, data):
 
 
 def test_log_is_read_by_position(spark, tmp_path):
-    path = _write(tmp_path / "log.csv", '1,"A, ""B""",play,2.5,0\n2,C™,purchase,1.0,0\n3,D,play,1d,0\nx,E,play,,0\n')
+    path = _write(tmp_path / "log.csv", '1,"A, ""B""",play,2.5,0\n2,C™,purchase,1.0,0\n3,D,play,1d,0\n,E,play,,0\n')
     rows = [tuple(r) for r in files.scan_interactions(spark, path).collect()]
     assert rows == [(1, 'A, "B"', "play", 2.5), (2, "C™", "purchase", 1.0), (3, "D", "play", None), (None, "E", "play", None)]
 
@@ -120,3 +120,21 @@ def test_csv_to_typed_table(spark, tmp_path):
         assert sorted(map(str, spark.table("typed_sample").collect())) == sorted(map(str, df.collect()))
     finally:
         spark.sql("DROP TABLE typed_sample")
+
+
+def test_text_ids(spark, tmp_path):
+    path = _write(tmp_path / "log.csv", "u1,A,play,2,0\n7,A,play,2,0\n")
+    assert sorted(r.user_id for r in files.scan_interactions(spark, path, text_ids=True).collect()) == ["7", "u1"]
+    with pytest.raises(Exception, match="no integer"):
+        files.scan_interactions(spark, path).collect()
+
+
+def test_records_with_a_control_sign_stay_whole(spark, tmp_path):
+    path = _write(tmp_path / "odd.csv", "h\na\x01b,2\nplain\n")
+    assert sorted(r.value for r in files.read_lines(spark, path, header=True).collect()) == ["a\x01b,2", "plain"]
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    path = _write(tmp_path / "catalog.csv", 'title,genre\n"A\nB",rpg\nC,fps\n')
+    assert sorted(tuple(r) for r in files.scan_catalog(spark, path).collect()) == [("A\nB", "rpg"), ("C", "fps")]
+    assert files.read_csv_tolerant(spark, path).count() == 2 and files.read_typed_csv(spark, path).count() == 2

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelens.functions.frames import existing, top, where_keys
+from usagelens.functions.joins import spread_join
 from usagelens.functions.numeric import clip, ratio
 from usagelens.functions.text import clean_title, rating, title_key, year_in
 from usagelens.operators.fuzzy import title_matches
@@ -17,6 +18,8 @@ from usagelens.schema import GENRE_NAMES, METASCORE_NAMES, RELEASE_NAMES, TITLE_
 from usagelens.sources.shaping import normalize_column_names
 from usagelens.session import materialize
 
+_OWN_NAMES = ("title", "title_clean", "genre", "developer", "metascore", "userscore", "release_year",
+              "item", "item_clean", "avg_hours", "engagement_score", "quality_score")
 REPORT_COLUMNS = ("title", "item", "avg_hours", "metascore", "userscore", "release_year", "genre",
                   "engagement_score", "quality_score")
 
@@ -43,10 +46,16 @@ def _first_named(df: DataFrame, names: Sequence[str]) -> str | None:
 
 
 def shape_catalog(raw: DataFrame) -> DataFrame:
-    """Raw catalogue to title, title_clean, genre, developer, metascore, userscore, release_year."""
+    """Raw catalogue to title, title_clean, genre, developer, metascore, userscore, release_year and all other columns.
+
+    Another column that bears the name of one of these, or of a column the joins add, gets the ending `_catalog`.
+    """
     df = normalize_column_names(raw)
-    title = F.col(detect_title_column(df)).cast("string")
+    title_name = detect_title_column(df)
+    title = F.col(title_name).cast("string")
     release = _first_named(df, RELEASE_NAMES)
+    taken = {title_name, release, "developer", *[_first_named(df, names) for names in (GENRE_NAMES, METASCORE_NAMES, USERSCORE_NAMES)]}
+    others = [F.col(c).alias(f"{c}_catalog" if c in _OWN_NAMES else c) for c in df.columns if c not in taken]
 
     def optional(name: str | None, expression, kind: str) -> Column:
         return expression(F.col(name)) if name else F.lit(None).cast(kind)
@@ -60,17 +69,22 @@ def shape_catalog(raw: DataFrame) -> DataFrame:
         optional(_first_named(df, METASCORE_NAMES), rating, "double").alias("metascore"),
         optional(_first_named(df, USERSCORE_NAMES), rating, "double").alias("userscore"),
         optional(release, release_rule, "int").alias("release_year"),
+        *others,
     )
 
 
-def dedupe_catalog(catalog: DataFrame) -> DataFrame:
-    """One catalogue row per cleaned title, the first in column order; for joins that must not fan out."""
-    return _first_per_key(catalog, "title_clean")
+def dedupe_catalog(catalog: DataFrame, order: str | None = None) -> DataFrame:
+    """One catalogue row per cleaned title; for joins that must not fan out.
+
+    `order` names a column, such as a record number, whose least value decides; else the least row by value does.
+    """
+    return _first_per_key(catalog, "title_clean", order)
 
 
-def _first_per_key(df: DataFrame, key: str) -> DataFrame:
+def _first_per_key(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """Least row per key. `min` combines before the shuffle, so copies of one key stay cheap."""
-    rest = [c for c in df.columns if c != key]
+    rest = [c for c in df.columns if c not in (key, order)]
+    rest = [order, *rest] if order else rest
     least = df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row"))
     return least.select(*[F.col(c) if c == key else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
@@ -94,30 +108,23 @@ def unmatched_items(interactions: DataFrame, catalog: DataFrame) -> DataFrame:
     return _join_titles(item_mean_hours(interactions), catalog.select("title_clean").distinct(), "left_anti")
 
 
-def join_catalog_fuzzy(interactions: DataFrame, catalog: DataFrame, cutoff: float = 0.93,
-                       min_exact: int = 100, mode: str = "auto") -> DataFrame:
-    """Exact join, plus the nearest title for items without one.
+def join_catalog_fuzzy(interactions: DataFrame, catalog: DataFrame, cutoff: float = 0.93, near: bool = True,
+                       one_row_per_item: bool = True, order: str | None = None) -> DataFrame:
+    """Exact join, plus (`near`) the nearest title for items without one.
 
-    `auto` looks for near titles only if the exact join has fewer than `min_exact` rows; `always` and
-    `never` decide beforehand. Once a near title was found, every item keeps one row only.
+    `one_row_per_item` keeps one catalogue row of repeated titles, the first by `order` or else the least by value. Neither
+    depends on what the tables hold.
     """
-    if mode not in ("auto", "always", "never"):
-        raise ValueError(f"unknown mode: {mode}")
     items = item_mean_hours(interactions)
-    if mode == "never":
-        return _join_titles(items, catalog)
-    items, catalog = materialize(items), materialize(catalog)  # one row per item or title, read several times
+    if near:
+        items, catalog = materialize(items), materialize(catalog)  # one row per item or title, read several times
     exact = _join_titles(items, catalog)
-    if mode == "auto" and exact.limit(min_exact).count() >= min_exact:
-        return exact
-    rest = _join_titles(items, catalog.select("title_clean").distinct(), "left_anti")
-    matches = materialize(title_matches(rest, catalog, "item_clean", "title_clean", cutoff))
-    if matches.isEmpty():
-        return exact
-    near = rest.join(matches.select("item_clean", "title_clean"), "item_clean").join(catalog, "title_clean")
-    both = exact.withColumn("_near", F.lit(0)).unionByName(near.withColumn("_near", F.lit(1)))
-    ranked = both.select("item_clean", "_near", *[c for c in exact.columns if c != "item_clean"])
-    return _first_per_key(ranked, "item_clean").select(*exact.columns)
+    both = exact
+    if near:
+        rest = _join_titles(items, catalog.select("title_clean").distinct(), "left_anti")
+        matches = title_matches(rest, catalog, "item_clean", "title_clean", cutoff).select("item_clean", "title_clean")
+        both = exact.unionByName(rest.join(matches, "item_clean").join(catalog, "title_clean"))
+    return _first_per_key(both, "item_clean", order).select(*exact.columns) if one_row_per_item else both
 
 
 def join_catalog_left(interactions: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -130,7 +137,25 @@ def join_catalog_left(interactions: DataFrame, catalog: DataFrame) -> DataFrame:
 def join_catalog_raw(interactions: DataFrame, catalog: DataFrame, how: str = "inner") -> DataFrame:
     """Log rows joined to genre and developer on the title as written."""
     named = catalog.select(F.col("title").alias("item"), "genre", "developer")
-    return interactions.join(named, "item", how)
+    return spread_join(interactions, named, ["item"], [c for c in interactions.columns if c != "item"], how)
+
+
+def join_catalog_raw_profile(interactions: DataFrame, catalog: DataFrame, how: str = "inner") -> DataFrame:
+    """Column, type and non-null count over the rows of `join_catalog_raw`, which are counted, not formed."""
+    log_columns, named = [c for c in interactions.columns if c != "item"], ("genre", "developer")
+    log = interactions.groupBy("item").agg(F.count("*").alias("_rows"), F.count("item").alias("n_item"),
+                                           *[F.count(c).alias(f"n_{c}") for c in log_columns])
+    titles = where_keys(catalog, "title").groupBy(F.col("title").alias("item")).agg(
+        F.count("*").alias("_titles"), *[F.count(c).alias(f"_{c}") for c in named])
+    each = F.coalesce("_titles", F.lit(1))  # a row without a title stays one row
+    totals = log.join(titles, "item", how).agg(
+        *[F.coalesce(F.sum(F.col(f"n_{c}") * each), F.lit(0)).alias(c) for c in ("item", *log_columns)],
+        *[F.coalesce(F.sum(F.col("_rows") * F.col(f"_{c}")), F.lit(0)).alias(c) for c in named])
+    joined = [("item", dict(interactions.dtypes)["item"]), *[(c, dict(interactions.dtypes)[c]) for c in log_columns],
+              *[(c, dict(catalog.dtypes)[c]) for c in named]]
+    types = F.create_map(*[F.lit(x) for pair in joined for x in pair])
+    return totals.unpivot([], [name for name, _ in joined], "column_name", "non_null").select(
+        "column_name", types[F.col("column_name")].alias("data_type"), "non_null")
 
 
 def join_catalog_raw_groups(interactions: DataFrame, catalog: DataFrame) -> DataFrame:

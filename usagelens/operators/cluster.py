@@ -17,6 +17,15 @@ from usagelens.operators.features import ITEM_FEATURES, assembled, centered
 from usagelens.session import materialize
 
 SEED = 42
+MAX_ITER = 300
+
+
+def fitted_kmeans(vectors: DataFrame, k: int, seed: int = SEED, column: str = "cluster", max_iter: int = MAX_ITER) -> KMeansModel:
+    """K-means that has come to rest; an error if it has not after `max_iter` steps."""
+    model = KMeans(k=k, seed=seed, predictionCol=column, maxIter=max_iter).fit(vectors)
+    if model.summary.numIter >= max_iter:
+        raise RuntimeError(f"clusters did not settle in {max_iter} steps")
+    return model
 
 
 def _per_k(scaled: DataFrame, columns: Sequence[str], ks: Iterable[int], seed: int, parallelism: int,
@@ -29,7 +38,7 @@ def _per_k(scaled: DataFrame, columns: Sequence[str], ks: Iterable[int], seed: i
     vectors = assembled(materialize(scaled), columns).select("features").persist()
 
     def fit(k: int) -> tuple:
-        model = KMeans(k=k, seed=seed).fit(vectors)
+        model = fitted_kmeans(vectors, k, seed)
         return (k, *[float(measure(model, vectors)) for measure in measures.values()])
 
     try:
@@ -46,7 +55,7 @@ def _inertia(model: KMeansModel, vectors: DataFrame) -> float:
 
 def _silhouette(model: KMeansModel, vectors: DataFrame) -> float:
     """Mean silhouette by squared Euclidean distance, which takes one pass and no pairs."""
-    return ClusteringEvaluator().evaluate(model.transform(vectors))
+    return ClusteringEvaluator(predictionCol="cluster").evaluate(model.transform(vectors))
 
 
 def kmeans_sweep(scaled: DataFrame, columns: Sequence[str] = ITEM_FEATURES, ks: Iterable[int] = range(2, 11),
@@ -69,7 +78,7 @@ def item_clusters(scaled: DataFrame, columns: Sequence[str] = ITEM_FEATURES, k:
                   seed: int = SEED) -> DataFrame:
     """Item and its cluster."""
     vectors = assembled(materialize(scaled), columns)
-    model = KMeans(k=k, seed=seed, predictionCol="cluster").fit(vectors)
+    model = fitted_kmeans(vectors, k, seed)
     return model.transform(vectors).select("item", "cluster")
 
 

@@ -9,6 +9,7 @@ from usagelens.functions import ordered
 from usagelens.functions.frames import top
 from usagelens.functions.numeric import ratio
 from usagelens.operators.usage import hours_by_user, measured_plays, user_item_hours_max
+from usagelens.session import materialize
 
 
 def hour_runs(interactions: DataFrame) -> DataFrame:
@@ -98,9 +99,8 @@ def _largest_items(rows: DataFrame, n: int) -> DataFrame:
 
 def lorenz_top_items(interactions: DataFrame, n: int = 5) -> DataFrame:
     """Lorenz points of the items with most players; x runs evenly from 0 to 1."""
-    hours = user_item_hours_max(interactions)
-    largest = _largest_items(hours, n)
-    points = _lorenz(hours.join(F.broadcast(largest), "item", "left_semi"), ["item"], "hours")
+    hours = materialize(user_item_hours_max(interactions))  # one row per pair, read twice
+    points = _lorenz(hours.join(_largest_items(hours, n), "item", "left_semi"), ["item"], "hours")
     rank, count = F.col("_one_before") + 1, F.col("_one_all")
     reached = F.col("hours_before") + F.col("hours")
     return points.select(
@@ -152,8 +152,9 @@ def histogram(runs: DataFrame, keys: list[str], value: str, low: Column, high: C
 
 
 def _top_item_runs(rows: DataFrame, value: str, n: int) -> DataFrame:
-    """Ordered values of the n items with most players; the broadcast side has n rows."""
-    kept = rows.join(F.broadcast(_largest_items(rows, n)), "item", "left_semi")
+    """Ordered values of the n items with most players."""
+    rows = materialize(rows.select("user_id", "item", value))  # read twice
+    kept = rows.join(_largest_items(rows, n), "item", "left_semi")
     return ordered.value_runs(kept, ["item"], value)
 
 
@@ -162,13 +163,13 @@ def hours_histogram_by_item(interactions: DataFrame, n: int = 20, bins: int = 20
     """Play hours of the largest items, each from 0 to its own upper percentile."""
     runs = _top_item_runs(measured_plays(interactions), "hours", n)
     limits = runs.groupBy("item").agg(ordered.percentile_of_runs("hours", upper_share).alias("limit"))
-    ranged = runs.join(F.broadcast(limits), "item")
+    ranged = runs.join(limits, "item")
     return histogram(ranged, ["item"], "hours", F.lit(0.0), F.col("limit"), bins)
 
 
 def hours_histogram_users(interactions: DataFrame, bins: int = 50) -> DataFrame:
     """Total hours over users, from the least to the most."""
-    counts = ordered.value_counts(active_hours_by_user(interactions), [], "total_hours")
+    counts = materialize(ordered.value_counts(active_hours_by_user(interactions), [], "total_hours"))
     span = counts.agg(F.struct(F.min("total_hours").alias("low"), F.max("total_hours").alias("high"))).scalar()
     ranged = counts.withColumn("_span", span)
     return histogram(ranged, [], "total_hours", F.col("_span.low"), F.col("_span.high"), bins)
@@ -177,7 +178,7 @@ def hours_histogram_users(interactions: DataFrame, bins: int = 50) -> DataFrame:
 def _box_stats(runs: DataFrame, value: str, reach: float = 1.5) -> DataFrame:
     """Quartiles, whiskers (furthest value within `reach` box heights) and values beyond them.
 
-    For runs of a fixed number of items: the boxes, one row per item, are broadcast.
+    For runs of a fixed number of items; the boxes have one row per item.
     """
     boxes = runs.groupBy("item").agg(
         ordered.count_of_runs().alias("entries"),
@@ -185,7 +186,7 @@ def _box_stats(runs: DataFrame, value: str, reach: float = 1.5) -> DataFrame:
           for name, p in {"q1": 0.25, "median": 0.5, "q3": 0.75}.items()])
     v, q1, q3 = F.col(value), F.col("q1"), F.col("q3")
     fence = reach * (q3 - q1)
-    both = runs.drop("mass").join(F.broadcast(boxes), "item")
+    both = runs.drop("mass").join(boxes, "item")
     return both.groupBy("item", "entries", "q1", "median", "q3").agg(
         F.least(F.min(F.when(v >= q1 - fence, v)), q1).alias("whisker_low"),
         F.greatest(F.max(F.when(v <= q3 + fence, v)), q3).alias("whisker_high"),

@@ -22,6 +22,9 @@ from pyspark.sql.types import DoubleType
 from usagelens.functions.joins import spread_join
 
 
+_WIDE = 4
+
+
 def gram_size(cutoff: float) -> int:
     """Largest q for which every title has more than q·d q-grams."""
     q = int(cutoff / (4 * (1 - cutoff)) + 1e-9) if cutoff < 1 else 4
@@ -74,6 +77,25 @@ def title_similarity(word: pd.Series, option: pd.Series) -> pd.Series:
     return pd.Series(scores, dtype="float64")
 
 
+def _on_grid(grams: DataFrame, title: str, cutoff: float, spread: bool) -> DataFrame:
+    """Adds the cell of a gram's place and its title's length to the join key.
+
+    Options are put into every cell that a partner within their edits can lie in; words into their own one. Cells are
+    one wide for options with few edits, else `_WIDE`; words stand in both grids, as they may meet either kind.
+    """
+    place, length = F.col(f"{title}_place"), F.length(title)
+    wide = F.lit(_WIDE)
+    if not spread:
+        held = grams.withColumn("_grid", F.explode(F.array(F.lit(1), wide)))
+        return held.withColumn("_place", F.floor(place / F.col("_grid"))).withColumn("_length", F.floor(length / F.col("_grid")))
+    held = grams.withColumn("_reach", most_edits(length, cutoff)).withColumn("_grid", F.when(F.col("_reach") <= 2, 1).otherwise(wide))
+
+    def cells(at: Column) -> Column:
+        return F.explode(F.sequence(F.floor((at - F.col("_reach")) / F.col("_grid")), F.floor((at + F.col("_reach")) / F.col("_grid"))))
+
+    return held.withColumn("_place", cells(place)).withColumn("_length", cells(length)).drop("_reach")
+
+
 def candidate_pairs(words: DataFrame, options: DataFrame, word: str, option: str, cutoff: float) -> DataFrame:
     """Distinct pairs that may reach the cutoff; no pair that reaches it with unequal titles is missing."""
     q = gram_size(cutoff)
@@ -86,7 +108,9 @@ def candidate_pairs(words: DataFrame, options: DataFrame, word: str, option: str
     edits = (F.length(word) + F.length(option)) * (1 - cutoff) + 1e-9
     near = ((F.abs(F.length(word) - F.length(option)) <= edits)
             & (F.abs(F.col(f"{word}_place") - F.col(f"{option}_place")) <= edits))
-    pairs = rare_words.join(rare_options, "gram").where(near).select(word, option).distinct()
+    keys = ["gram", "_grid", "_place", "_length"]
+    pairs = (_on_grid(rare_words, word, cutoff, spread=False).join(_on_grid(rare_options, option, cutoff, spread=True), keys)
+             .where(near).select(word, option).distinct())
     return pairs.where(letters_in_common(F.col(word), F.col(option)) * 2
                        >= (F.length(word) + F.length(option)) * cutoff - 1e-9)
 

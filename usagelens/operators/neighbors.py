@@ -8,9 +8,6 @@ log rows, are written to the shared folder once per query, since every step read
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +15,8 @@ from usagelens.functions import ordered
 from usagelens.functions.frames import top, where_keys
 from usagelens.functions.joins import spread_join
 from usagelens.functions.numeric import ratio
-from usagelens.operators.cluster import SEED, signs_of
-from usagelens.operators.features import centered, sparse_vectors
+from usagelens.operators.cluster import SEED, fitted_kmeans
+from usagelens.operators.features import sparse_vectors
 from usagelens.operators.usage import effective_hours
 from usagelens.operators.wide_pca import wide_projection
 from usagelens.session import materialize
@@ -86,14 +83,16 @@ def _nearest(matrix: DataFrame, query: Column, n: int) -> DataFrame:
     product = F.col("dot") - F.col("b") - totals["b"] + totals["c"]
     norms = F.sqrt(F.greatest(F.col("xx") - 2 * F.col("b") + totals["c"], F.lit(0.0))
                    * F.greatest(totals["xx"] - 2 * totals["b"] + totals["c"], F.lit(0.0)))
-    scored = per_user.where(F.col("user_id") != query).select(
+    # A user the matrix does not know has no neighbours.
+    known = matrix.agg(F.max(F.col("user_id") == query)).scalar()
+    scored = per_user.where((F.col("user_id") != query) & known).select(
         F.col("user_id").alias("neighbor_id"),
         F.round(F.coalesce(ratio(product, norms), F.lit(0.0)), 9).alias("similarity"))
     return top(scored, n, F.desc("similarity"), "neighbor_id")
 
 
 def similar_users(interactions: DataFrame, user_id: int | None = None, n: int = 4) -> DataFrame:
-    """The n users nearest to one user, by default to the first; the lower id wins a tie."""
+    """The n users nearest to one user, by default to the first; the lower id wins a tie. None for an unknown user."""
     matrix = materialize(user_item_matrix(interactions))
     return _nearest(matrix, _query_user(matrix, user_id), n)
 
@@ -105,7 +104,7 @@ def recommend_items(interactions: DataFrame, user_id: int | None = None, n: int
     near = _nearest(matrix, query, n).select(F.col("neighbor_id").alias("user_id"))
     played = matrix.where(F.col("hours") > 0)
     own = played.where(F.col("user_id") == query).select("item")
-    theirs = played.join(F.broadcast(near), "user_id", "left_semi").select("item").distinct()
+    theirs = played.join(near, "user_id", "left_semi").select("item").distinct()
     return theirs.join(own, "item", "left_anti")
 
 
@@ -131,24 +130,10 @@ def user_clusters(interactions: DataFrame, k: int = 3, seed: int = SEED) -> Data
     """User and cluster, by K-means on standardised rows. Distances do not depend on centring."""
     cells, columns = scaled_cells(interactions)
     vectors = _vectors(cells, columns.count())
-    return KMeans(k=k, seed=seed, predictionCol="cluster").fit(vectors).transform(vectors).select(
-        "user_id", "cluster")
+    return fitted_kmeans(vectors, k, seed).transform(vectors).select("user_id", "cluster")
 
 
-def user_pca(interactions: DataFrame, k: int = 2, max_dense_width: int = 2048, **wide_options) -> DataFrame:
-    """Users on the first k principal components of the standardised matrix.
-
-    Spark's PCA brings a matrix of width x width to the driver. That is kept to widths up to
-    `max_dense_width` items; wider matrices go through `wide_projection`, which brings only k x k.
-    """
+def user_pca(interactions: DataFrame, k: int = 2, **options) -> DataFrame:
+    """Users on the first k principal components of the standardised matrix, whatever its width."""
     cells, columns = scaled_cells(interactions)
-    width = columns.count()
-    if width > max_dense_width:
-        return wide_projection(materialize(cells), columns, k, **wide_options)
-    vectors = _vectors(cells, width)
-    model = PCA(k=k, inputCol="features", outputCol="projected").fit(vectors)
-    place = vector_to_array(F.col("projected"))
-    signs = signs_of(model.pc.toArray())
-    projected = model.transform(vectors).select(
-        "user_id", *[(place[i] * sign).alias(f"pca{i + 1}") for i, sign in enumerate(signs)])
-    return centered(projected, [f"pca{i + 1}" for i in range(k)])
+    return wide_projection(materialize(cells), columns, k, **options)

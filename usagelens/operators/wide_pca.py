@@ -39,7 +39,7 @@ def _project(cells: DataFrame, basis: DataFrame, names: list[str]) -> DataFrame:
 
 def _multiply(cells: DataFrame, columns: DataFrame, basis: DataFrame, names: list[str]) -> DataFrame:
     scores = _project(cells, basis, names)
-    back = spread_join(cells, scores, ["user_id"], ["item"]).groupBy("item").agg(
+    back = cells.join(scores, "user_id").groupBy("item").agg(
         *[F.sum(F.col("scaled") * F.col(n)).alias(n) for n in names])
     return materialize(columns.join(back, "item"))
 
@@ -55,8 +55,8 @@ def _leading_directions(product: DataFrame, names: list[str]) -> tuple[np.ndarra
     return squares[::-1], turns[:, ::-1]
 
 
-def wide_components(cells: DataFrame, columns: DataFrame, k: int = 2, oversample: int = 8, tolerance: float = 1e-8,
-                    max_rounds: int = 100) -> DataFrame:
+def wide_components(cells: DataFrame, columns: DataFrame, k: int = 2, oversample: int = 24, tolerance: float = 1e-13,
+                    max_rounds: int = 300) -> DataFrame:
     """Loadings (item, center, v0..) of the first k components.
 
     `cells`: user_id, item, scaled; `columns`: item, center. Fails if the variances still move after

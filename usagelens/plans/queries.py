@@ -11,6 +11,7 @@ from usagelens.functions.text import clean_title, rating, year_in
 from usagelens.operators import catalog as cat
 from usagelens.operators import (cluster, distribution, features, neighbors, ownership, profile, retention,
                                  segments, usage)
+from usagelens.schema import PLAY, PURCHASE
 from usagelens.session import materialize, scratch_path
 from usagelens.sources import files, shaping
 from usagelens.sources.adapters import event_interactions, order_interactions, part_catalog
@@ -146,7 +147,7 @@ def batch_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_join_profile(log: DataFrame, catalog: DataFrame, how: str = "inner") -> DataFrame:
     """Non-null values per column of the row-level join."""
-    return profile.profile_columns(cat.join_catalog_raw(log, catalog, how))
+    return cat.join_catalog_raw_profile(log, catalog, how)
 
 
 def item_top_per_cluster(log: DataFrame) -> DataFrame:
@@ -187,8 +188,8 @@ def _profile_queries() -> dict[str, Query]:
 
 def _usage_queries() -> dict[str, Query]:
     return {
-        "plays": on_orders(usage.plays),
-        "purchases": on_orders(usage.purchases),
+        "plays": lambda spark, folder: rounded(usage.plays(order_interactions(spark, folder, PLAY))),
+        "purchases": lambda spark, folder: rounded(usage.purchases(order_interactions(spark, folder, PURCHASE))),
         "active_plays": on_events(usage.active_plays),
         "clean_play_hours": on_orders(lambda log: usage.clean_play_hours(text_hours(log))),
         "interactions_for_item": on_orders(usage.interactions_for_item, item=ITEM),
@@ -291,7 +292,7 @@ def _catalog_queries() -> dict[str, Query]:
         "join_catalog_raw_left": on_join(raw_join_profile, how="left"),
         "join_catalog_raw_groups": on_join(cat.join_catalog_raw_groups),
         "unmatched_items": on_misspelled(cat.unmatched_items),
-        "join_catalog_fuzzy": on_misspelled(cat.join_catalog_fuzzy, mode="always"),
+        "join_catalog_fuzzy": on_misspelled(cat.join_catalog_fuzzy),
         "engagement_score": on_scores(lambda s: s.select(*scores, "avg_hours", "engagement_score")),
         "quality_score": on_scores(lambda s: s.select(*scores, "quality_score")),
         "top_engagement": best("engagement_score"),

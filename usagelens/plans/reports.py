@@ -10,11 +10,12 @@ from usagelens.sources.files import write_insights, write_report_csv
 from usagelens.session import materialize
 
 
-def catalog_report(interactions: DataFrame, raw_catalog: DataFrame, mode: str = "auto",
-                   n: int = 20) -> dict[str, DataFrame]:
+def catalog_report(interactions: DataFrame, raw_catalog: DataFrame, near: bool = True,
+                   one_row_per_item: bool = True, n: int = 20) -> dict[str, DataFrame]:
     """Usage joined to the catalogue: scores, best lists, roll-ups, correlations and summary."""
     shaped = cat.shape_catalog(raw_catalog)
-    scored = materialize(cat.with_scores(cat.join_catalog_fuzzy(interactions, shaped, mode=mode)))
+    scored = materialize(cat.with_scores(cat.join_catalog_fuzzy(
+        interactions, shaped, near=near, one_row_per_item=one_row_per_item)))
     report = scored.select(*cat.REPORT_COLUMNS)
     return {
         "report": report,

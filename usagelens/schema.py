@@ -6,9 +6,9 @@ PURCHASE = "purchase"
 PLAY = "play"
 
 # Interaction logs have no header: five columns by position. Hours arrive as text, since one bad
-# cell must become NULL and not fail or retype the column; `extra` is constant and gets dropped.
+# cell must become NULL and not fail or retype the column; user ids too, as logs may name users; `extra` is constant and gets dropped.
 RAW_INTERACTIONS = StructType([
-    StructField("user_id", LongType()),
+    StructField("user_id", StringType()),
     StructField("item", StringType()),
     StructField("behavior", StringType()),
     StructField("hours", StringType()),

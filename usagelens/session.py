@@ -51,9 +51,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared folder and go on from there.
+    """Write `df` once to the shared folder, as Parquet, and go on from there.
 
-    For frames that several branches read, or whose row placement must not change between branches.
+    For frames that several branches read, or whose row placement must not change between branches. `clear_scratch` removes
+    what was written, once results are no longer read.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application; frames that read them end with it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -20,19 +20,23 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def order_interactions(spark: SparkSession, folder: str) -> DataFrame:
+def order_interactions(spark: SparkSession, folder: str, behavior: str | None = None) -> DataFrame:
     """Every order line is a purchase; lines that were not returned are also plays of that many hours.
 
-    One row per line is joined, then split into its one or two log rows.
+    One row per line is joined, then split into its one or two log rows. `behavior` keeps rows of one kind only, before
+    the joins.
     """
     lines = _table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag")
+    if behavior == PLAY:
+        lines = lines.where(F.col("l_returnflag") != "R")
     orders = _table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     parts = _table(spark, folder, "part").select("p_partkey", "p_name")
     joined = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(
         parts, lines["l_partkey"] == parts["p_partkey"])
     bought = F.struct(F.lit(PURCHASE).alias("behavior"), F.lit(1.0).alias("hours"))
     played = F.struct(F.lit(PLAY).alias("behavior"), F.col("l_quantity").alias("hours"))
-    events = F.when(F.col("l_returnflag") != "R", F.array(bought, played)).otherwise(F.array(bought))
+    events = {PURCHASE: F.array(bought), PLAY: F.array(played)}.get(
+        behavior, F.when(F.col("l_returnflag") != "R", F.array(bought, played)).otherwise(F.array(bought)))
     return as_interactions(joined.select("o_custkey", "p_name", F.inline(events)),
                            "o_custkey", "p_name", "behavior", "hours")
 

@@ -15,30 +15,38 @@ from usagelens.sources.shaping import (cast_inferred_types, normalize_column_nam
 _QUOTING = {"quote": '"', "escape": '"'}
 
 
-def scan_interactions(spark: SparkSession, path: str) -> DataFrame:
+def scan_interactions(spark: SparkSession, path: str, text_ids: bool = False) -> DataFrame:
     """Headerless log: user, item, behaviour and hours, the constant fifth column dropped.
 
-    Text that is no number gives NULL hours. Fewer than five columns is an error, and so is a
-    missing path.
+    Text that is no number gives NULL hours. Fewer than five columns is an error, and so are a missing path and a
+    user id that is no integer, unless `text_ids` keeps ids as they are written.
     """
     width = len(spark.read.options(**_QUOTING).csv(path, header=False).columns)
     if width < len(RAW_INTERACTIONS):
         raise ValueError(f"expected {len(RAW_INTERACTIONS)} columns, found {width}: {path}")
     raw = spark.read.options(**_QUOTING).csv(path, schema=RAW_INTERACTIONS, header=False, mode="PERMISSIVE")
-    return raw.select("user_id", "item", "behavior", to_double(F.col("hours")).alias("hours"))
+    number = F.col("user_id").try_cast("bigint")
+    checked = F.when(number.isNull() & F.col("user_id").isNotNull(), F.raise_error(
+        F.concat(F.lit("user id is no integer: "), "user_id")).cast("bigint")).otherwise(number)
+    return raw.select("user_id" if text_ids else checked.alias("user_id"), "item", "behavior", to_double(F.col("hours")).alias("hours"))
 
 
-def scan_catalog(spark: SparkSession, path: str, keep: Sequence[str] = ("genre",)) -> DataFrame:
-    """Catalogue with a header: the first column as title, plus the named ones."""
-    df = spark.read.options(**_QUOTING).csv(path, header=True)
+def scan_catalog(spark: SparkSession, path: str, keep: Sequence[str] = ("genre",), multi_line: bool = True) -> DataFrame:
+    """Catalogue with a header: the first column as title, plus the named ones.
+
+    `multi_line` (here and below) lets quoted fields hold line breaks; a file is then read by one task.
+    """
+    df = spark.read.options(multiLine=multi_line, **_QUOTING).csv(path, header=True)
     return df.select(F.col(f"`{df.columns[0]}`").alias("title"), *keep)
 
 
 def read_lines(spark: SparkSession, path: str, header: bool = False, encoding: str = "utf-8") -> DataFrame:
     """Records of a text file, unsplit; `header` leaves out the first record of each file. Empty lines
     are no records."""
-    return spark.read.options(encoding=encoding, sep="\u0001", quote="", header=header, enforceSchema=True).csv(
-        path, schema="value string")
+    # A record that holds the separator is whole in the column for malformed records only.
+    read = spark.read.options(encoding=encoding, sep="\u0001", quote="", header=header, enforceSchema=True,
+                              columnNameOfCorruptRecord="_whole").csv(path, schema="value string, _whole string")
+    return read.select(F.coalesce("_whole", "value").alias("value"))
 
 
 def read_ragged_csv(spark: SparkSession, path: str, header: bool = True, width: int | None = None) -> DataFrame:
@@ -46,10 +54,11 @@ def read_ragged_csv(spark: SparkSession, path: str, header: bool = True, width:
     return pad_ragged_rows(read_lines(spark, path, header), width=width)
 
 
-def read_typed_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_typed_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """CSV with a header to a table with usable column names and the types its values allow."""
-    names = spark.read.options(**_QUOTING).csv(path, header=False).first()
-    df = spark.read.options(**_QUOTING).csv(path, header=True)
+    reader = spark.read.options(multiLine=multi_line, **_QUOTING)
+    names = reader.csv(path, header=False).first()
+    df = reader.csv(path, header=True)
     return cast_inferred_types(df.toDF(*sanitized_names([name or "" for name in names])))
 
 
@@ -58,7 +67,8 @@ def _decodes(spark: SparkSession, path: str, encoding: str) -> bool:
     return read_lines(spark, path, encoding=encoding).where(F.contains("value", F.lit("\ufffd"))).isEmpty()
 
 
-def read_csv_tolerant(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
+def read_csv_tolerant(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS,
+                      multi_line: bool = True) -> DataFrame:
     """Catalogue of unknown encoding, with normalised column names.
 
     Takes the first encoding all bytes agree with. The first record names the columns, whether or not
@@ -68,7 +78,7 @@ def read_csv_tolerant(spark: SparkSession, path: str, encodings: Sequence[str] =
     tried = list(dict.fromkeys(charset.get(e, e) for e in encodings))
     for encoding in tried:
         if encoding == "ISO-8859-1" or _decodes(spark, path, encoding):
-            df = spark.read.options(encoding=encoding, **_QUOTING).csv(path, header=True)
+            df = spark.read.options(encoding=encoding, multiLine=multi_line, **_QUOTING).csv(path, header=True)
             first = df.columns[0].lstrip("\ufeff")
             return normalize_column_names(df.toDF(first, *df.columns[1:]))
     raise ValueError(f"none of {tuple(encodings)} decodes {path}")
@@ -80,12 +90,12 @@ def write_report_csv(df: DataFrame, path: str, header: bool = True) -> None:
                      **_QUOTING).mode("overwrite").csv(path)
 
 
-def write_batches(df: DataFrame, path: str, rows_per_file: int = 10_000) -> None:
-    """Load a table in files of limited size."""
+def write_batches(df: DataFrame, path: str, rows_per_file: int = 0) -> None:
+    """Load a table, in files of limited size where `rows_per_file` is given."""
     df.write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").parquet(path)
 
 
-def save_typed_table(df: DataFrame, table: str, rows_per_file: int = 10_000) -> None:
+def save_typed_table(df: DataFrame, table: str, rows_per_file: int = 0) -> None:
     df.write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").saveAsTable(table)
 
 
