@@ -49,11 +49,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
                           (F.lit(max_epochs) * F.col("source_size")).alias("cap"))
     asked = asked.withColumn("turn", F.col("cap") / F.col("weight"))
     filled = save(running_totals(asked, [], ["turn", *_KEY], ["cap", "weight"]), "filled")
-    level = filled.agg(F.max((F.lit(float(share)) * F.col("cap_all") / F.lit(max_epochs) - F.col("cap_before"))
-                             / (F.col("weight_all") - F.col("weight_before"))).alias("level"))
-    # One row by construction: the level of a global aggregate.
-    return filled.join(F.broadcast(level)).select(
-        *_KEY, F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level")).alias("target"))
+    wanted = F.lit(float(share)) * F.col("cap_all") / F.lit(max_epochs)
+    level = filled.agg(F.max((wanted - F.col("cap_before")) / (F.col("weight_all") - F.col("weight_before"))).alias("level")).scalar()
+    return filled.select(*_KEY, F.least(F.col("cap").cast("double"), F.col("weight") * level).alias("target"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS,
