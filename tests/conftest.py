@@ -7,7 +7,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
 from usagelens.schema import INTERACTIONS  # noqa: E402
-from usagelens.session import build_session  # noqa: E402
+from usagelens.session import build_session, clear_scratch  # noqa: E402
 
 SAMPLE = "/root/testdata/sf0.001"
 
@@ -17,9 +17,10 @@ def spark(tmp_path_factory):
     session = build_session("usagelens-tests", "local[4]", **{
         "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g",
-        "spark.ui.showConsoleProgress": "false"})
+        "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelens.functions import ordered
-from usagelens.functions.frames import stacked, top
+from usagelens.functions.frames import stacked, top, where_keys
 from usagelens.functions.joins import spread_join
 from usagelens.functions.numeric import count_where, ratio
-from usagelens.operators.usage import entries_by_item, owners_by_item, purchases, user_item_facts
+from usagelens.operators.usage import pair_facts, purchases, user_item_facts
 from usagelens.schema import PURCHASE
 from usagelens.session import materialize
 
@@ -27,13 +27,18 @@ def owner_hours(interactions: DataFrame) -> DataFrame:
 
     A single aggregation by pair replaces the join of purchases to plays.
     """
-    owned = user_item_facts(interactions).where(F.col("purchase_rows") > 0)
+    return _hours_of_owners(user_item_facts(interactions))
+
+
+def _hours_of_owners(facts: DataFrame) -> DataFrame:
+    owned = where_keys(facts, "user_id", "item").where(F.col("purchase_rows") > 0)
     return owned.select("user_id", "item", F.coalesce("active_hours", F.lit(0.0)).alias("hours"))
 
 
 def owner_engagement(interactions: DataFrame) -> DataFrame:
     """Per item: owners, how many play and how long, and shares of all users."""
-    runs = ordered.value_runs(owner_hours(interactions), ["item"], "hours")
+    facts = materialize(pair_facts(interactions))  # the log is read once, for owners and for all users
+    runs = ordered.value_runs(_hours_of_owners(facts), ["item"], "hours")
     n = F.col("n")
 
     def owners_with(condition: Column) -> Column:
@@ -50,7 +55,7 @@ def owner_engagement(interactions: DataFrame) -> DataFrame:
         ordered.percentile_of_runs("hours", 0.5).alias("median_hours_per_owner"),
         F.sum("mass").alias("total_hours"),
     )
-    users = total_users(interactions)
+    users = total_users(facts)
     zero = F.lit(0.0)
     return per_item.select(
         "*",
@@ -113,16 +118,19 @@ def ownership_ratio_item(interactions: DataFrame, item: str) -> DataFrame:
 
 def ownership_rate_all_users(interactions: DataFrame, n: int = 20) -> DataFrame:
     """Purchase rows per hundred users."""
-    entries = entries_by_item(purchases(interactions))
-    rates = entries.select("item", F.col("entries").alias("purchase_rows"),
-                           (ratio(F.col("entries"), total_users(interactions)) * 100).alias("ownership_rate"))
+    facts = materialize(pair_facts(interactions))
+    entries = where_keys(facts, "item").groupBy("item").agg(F.sum("purchase_rows").alias("purchase_rows"))
+    rates = entries.where(F.col("purchase_rows") > 0).select(
+        "item", "purchase_rows", (ratio(F.col("purchase_rows"), total_users(facts)) * 100).alias("ownership_rate"))
     return top(rates, n, F.desc("ownership_rate"), "item")
 
 
 def ownership_rate_vs_non_owners(interactions: DataFrame) -> DataFrame:
     """Owners per hundred non-owners; NULL (last) for an item everyone owns."""
-    others = total_users(interactions) - F.col("owners")
-    rates = owners_by_item(interactions).select("item", "owners", others.alias("non_owners"))
+    facts = materialize(pair_facts(interactions))
+    others = total_users(facts) - F.col("owners")
+    owners = where_keys(facts, "item").where(F.col("purchase_rows") > 0).groupBy("item").agg(F.count("user_id").alias("owners"))
+    rates = owners.select("item", "owners", others.alias("non_owners"))
     return rates.withColumn(
         "ownership_rate", ratio(F.col("owners"), F.col("non_owners")) * 100
     ).orderBy(F.desc_nulls_last("ownership_rate"), "item")

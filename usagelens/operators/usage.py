@@ -56,7 +56,12 @@ def user_item_facts(interactions: DataFrame) -> DataFrame:
     Distinct users per item become plain sums afterwards, so a popular item is pre-aggregated over
     all its users before anything is shuffled by item.
     """
-    return where_keys(interactions, "user_id", "item").groupBy("user_id", "item").agg(
+    return pair_facts(where_keys(interactions, "user_id", "item"))
+
+
+def pair_facts(interactions: DataFrame) -> DataFrame:
+    """The same, with rows for a missing user or item: all of the log in one pass."""
+    return interactions.groupBy("user_id", "item").agg(
         count_where(_is(PURCHASE)).alias("purchase_rows"),
         count_where(_is(PLAY)).alias("play_rows"),
         F.count(F.when(_is(PLAY), F.col("hours"))).alias("timed_rows"),

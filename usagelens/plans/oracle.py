@@ -368,6 +368,7 @@ def _catalog() -> dict[str, str]:
             UNION ALL SELECT 'genre', count(DISTINCT genre), 1 FROM rawcat UNION ALL SELECT 'developer', count(DISTINCT developer), 2 FROM rawcat
             UNION ALL SELECT 'metascore', count(DISTINCT metascore), 3 FROM rawcat UNION ALL SELECT 'userscore', count(DISTINCT userscore), 4 FROM rawcat
             UNION ALL SELECT 'release_date', count(DISTINCT release_date), 5 FROM rawcat) ORDER BY distinct_values DESC, p LIMIT 1"""),
+        "detect_title_column_named": "SELECT DISTINCT 'title' AS column_name FROM part",
         "join_catalog_exact": _with(["joined"], f"SELECT {joined} FROM joined"),
         "join_catalog_left": _with(["usagegenre"], f"SELECT key, item, players, {_r('total_hours', 'avg_hours_per_player')}, purchasers, genre FROM usagegenre"),
         "join_catalog_raw": raw_profile("JOIN"),
@@ -409,12 +410,16 @@ def _sources() -> dict[str, str]:
     return {
         "scan_interactions": _with(["a"], "SELECT * FROM a"),
         "scan_catalog": _with(["rawcat"], "SELECT title, genre, developer FROM rawcat"),
+        "scan_catalog_line_breaks": _with(["rawcat"], "SELECT concat(title, chr(10), genre) AS title, developer FROM rawcat"),
+        "preview": "SELECT p_partkey, p_name, p_brand, p_type, p_size, round(p_retailprice, 6) AS p_retailprice FROM part ORDER BY p_partkey LIMIT 5",
         "read_csv_tolerant": _with(["rawcat"], """SELECT title, genre, developer, metascore AS meta_score, userscore AS userscore,
             release_date AS released_num FROM rawcat"""),
         "write_report_csv": _usage()["top_items_by_hours"],
         "write_batches": _with(["textparts"], typed),
-        "normalize_column_names": "SELECT p_partkey AS part_key, p_name AS name_num, p_size AS size_pct, p_brand AS brandname FROM part",
-        "sanitize_column_names": "SELECT p_partkey AS part_key, p_name AS part_key_2, p_size AS _9_size, p_brand AS col FROM part",
+        "normalize_column_names": """SELECT p_partkey AS part_key, p_name AS name_num, p_size AS size_pct, p_brand AS brandname,
+            p_type AS type, round(p_retailprice, 6) AS retail_price FROM part""",
+        "sanitize_column_names": """SELECT p_partkey AS part_key, p_name AS part_key_2, p_size AS _9_size, p_brand AS col,
+            p_type AS type, round(p_retailprice, 6) AS price FROM part""",
         "infer_column_types": _with(["textparts"], """, cells AS (UNPIVOT (SELECT code, measure, even_size, mixed, empty FROM textparts)
             ON code, measure, even_size, mixed, empty INTO NAME column_name VALUE cell)
             SELECT column_name, CASE WHEN count(*) FILTER (WHERE cell <> '' AND NOT regexp_full_match(replace(cell, ',', '.'), '[+-]?([0-9]+|[0-9]+[.][0-9]*|[.][0-9]+)')) > 0 THEN 'TEXT'
@@ -507,4 +512,8 @@ def _settled(sql: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     groups = (_usage(), _segments(), _retention(), _distribution(), _catalog(), _sources(), _profile(), _models())
-    return {name: _settled(sql) for group in groups for name, sql in group.items()}
+    queries = {name: sql for group in groups for name, sql in group.items()}
+    for name in ("similar_users", "recommend_items"):
+        queries[f"{name}_given"] = queries[name].replace("SELECT min(user_id) FROM b", "SELECT max(user_id) FROM b")
+    queries["decode_items"] = queries["encode_items"]
+    return {name: _settled(sql) for name, sql in queries.items()}

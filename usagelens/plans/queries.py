@@ -133,6 +133,24 @@ def tolerant_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return files.read_csv_tolerant(spark, path)
 
 
+def line_break_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles that hold a line break."""
+    path = scratch_path(spark, "catalog")
+    broken = F.concat("title", F.lit("\n"), "genre")
+    files.write_report_csv(part_catalog(spark, folder).withColumn("title", broken), path)
+    return files.scan_catalog(spark, path, keep=("developer",))
+
+
+def of_last_user(operator: Callable[..., DataFrame]) -> Query:
+    """For the user with the greatest id in place of the first."""
+    return on_events(lambda log: operator(log, user_id=log.agg(F.max("user_id")).first()[0]))
+
+
+def decoded_items(log: DataFrame) -> DataFrame:
+    codes = neighbors.encode_items(log)
+    return neighbors.decode_items(codes.select("item_code"), codes)
+
+
 def report_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "report")
     files.write_report_csv(usage.top_items_by_hours(order_interactions(spark, folder)), path)
@@ -159,13 +177,17 @@ def _source_queries() -> dict[str, Query]:
     return {
         "scan_interactions": csv_round_trip,
         "scan_catalog": catalog_round_trip,
+        "scan_catalog_line_breaks": line_break_round_trip,
         "read_csv_tolerant": tolerant_round_trip,
+        "preview": on_part(lambda p: files.preview(p.orderBy("p_partkey"))),
         "write_report_csv": report_round_trip,
         "write_batches": batch_round_trip,
         "normalize_column_names": on_part(lambda p: shaping.normalize_column_names(
-            p.select("p_partkey", "p_name", "p_size", "p_brand").toDF(" Part  Key", "Name #", "Size %", "Brand-Name"))),
+            p.select("p_partkey", "p_name", "p_size", "p_brand", "p_type", "p_retailprice").toDF(
+                " Part  Key", "Name #", "Size %", "Brand-Name", "Type", "Retail Price"))),
         "sanitize_column_names": on_part(lambda p: shaping.sanitize_column_names(
-            p.select("p_partkey", "p_name", "p_size", "p_brand").toDF("part key", "part-key", "9 size", "!!"))),
+            p.select("p_partkey", "p_name", "p_size", "p_brand", "p_type", "p_retailprice").toDF(
+                "part key", "part-key", "9 size", "!!", "type", "price"))),
         "infer_column_types": on_part(lambda p: shaping.infer_column_types(text_parts(p))),
         "cast_inferred_types": on_part(lambda p: shaping.cast_inferred_types(text_parts(p))),
         "pad_ragged_rows": on_part(lambda p: shaping.pad_ragged_rows(ragged_lines(p))),
@@ -286,6 +308,8 @@ def _catalog_queries() -> dict[str, Query]:
             "title", year_in(F.col("release_date")).alias("release_year")),
         "detect_title_column": lambda spark, folder: cat.richest_text_column(
             part_catalog(spark, folder).withColumnRenamed("title", "label")),
+        "detect_title_column_named": lambda spark, folder: part_catalog(spark, folder).select(
+            F.lit(cat.detect_title_column(part_catalog(spark, folder))).alias("column_name")).distinct(),
         "join_catalog_exact": on_join(cat.join_catalog_exact),
         "join_catalog_left": on_join(cat.join_catalog_left),
         "join_catalog_raw": on_join(raw_join_profile),
@@ -329,6 +353,9 @@ def _model_queries() -> dict[str, Query]:
         "user_pca": on_events(neighbors.user_pca),
         "similar_users": on_events(neighbors.similar_users),
         "recommend_items": on_events(neighbors.recommend_items),
+        "similar_users_given": of_last_user(neighbors.similar_users),
+        "recommend_items_given": of_last_user(neighbors.recommend_items),
+        "decode_items": on_orders(decoded_items),
     }
 
 
