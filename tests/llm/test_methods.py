@@ -164,3 +164,14 @@ def test_cascade_is_exact_on_its_universe(spark):
     want = {row["key"] for row in listed.collect()}
     assert (cascade.listed(every) == np.array([key in want for key in every.tolist()])).all()
     assert not urlfilter.build_cascade(keys, listed.limit(0)).listed(every).any()
+
+
+def test_large_test_sets_are_met_alike(spark, documents):
+    passage = [f"w{i}" for i in range(20)]
+    docs = documents((1, "x " + " ".join(passage) + " y"), (2, " ".join(passage[:9] + ["z"] + passage[10:])), (3, "a q b c"), (3, "a q b c"),
+                     (None, "b c"), (4, None), (5, ""), (6, "clean text of several words here"))
+    items = spark.createDataFrame([(1, " ".join(passage)), (2, "q"), (3, "b c"), (None, "b c"), (4, "")], "item_id long, text string")
+    small = sorted(map(str, decontaminate.overlaps(docs, items).collect()))
+    assert small == sorted(map(str, decontaminate.overlaps(docs, items, broadcast_rows=0).collect()))
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs, items).collect()} == {
+        (1, 1), (2, 1), (3, 2), (3, 3), (3, None), (None, 3), (None, None)}

@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from usagelens.functions.joins import spread_join
 from usagelens.llm.common import save
 
 # Fixed masks, as distances between two pairs of adjacent tokens: 3 is the mask 11011, 4 is 110011. A
@@ -33,42 +34,31 @@ def tokens(text: Column) -> Column:
     return F.transform(words, lambda word: F.xxhash64(word))
 
 
-def _run_hashes(held: Column, length: int) -> Column:
-    """Hash of each run of `length` tokens."""
-    places = F.sequence(F.lit(0), F.size(held) - F.lit(length))
-    hashed = F.transform(places, lambda i: F.xxhash64(F.lit(-length), *[F.get(held, i + k) for k in range(length)]))
-    return F.when(F.size(held) >= length, hashed).otherwise(F.array().cast("array<bigint>"))
+def _zip_hash(left: Column, right: Column) -> Column:
+    return F.zip_with(left, right, lambda a, b: F.xxhash64(a, b))
 
 
-def _zip_hash(left: Column, right: Column, *more: Column) -> Column:
-    return F.zip_with(left, right, lambda a, b: F.xxhash64(a, b, *more))
+def _positions(df: DataFrame, runs: Sequence[int]) -> DataFrame:
+    """One row per place of `df(held)` where a seed may start, with a hash `lead` of what every seed there begins with.
 
-
-def _places(df: DataFrame, gaps: Sequence[int], runs: Sequence[int], seed: str, place: str) -> DataFrame:
-    """One row per mask and place of `df(held)`: its seed hash and position.
-
-    A seed is the hash of two pair hashes, so each token costs one small hash per mask, whatever the mask's span.
+    That is the pair of tokens at the place, or the token alone where single tokens are looked for.
     """
     held, n = F.col("held"), F.size("held")
     paired = df.withColumn("_pairs", F.when(n >= 2, _zip_hash(F.slice(held, F.lit(1), n - 1), F.slice(held, F.lit(2), n - 1)))
                            .otherwise(F.array().cast("array<bigint>")))
-    pairs, m = F.col("_pairs"), F.greatest(n - 1, F.lit(0))
-    arrays, sizes = [], []
-    for gap in gaps:
-        size = F.greatest(m - gap, F.lit(0))
-        arrays.append(_zip_hash(F.slice(pairs, F.lit(1), size), F.slice(pairs, F.lit(gap + 1), size), F.lit(gap)))
-        sizes.append(size)
-    for length in runs:
-        arrays.append(_run_hashes(held, length))
-        sizes.append(F.greatest(n - length + 1, F.lit(0)))
-    dealt = paired.select(*df.columns, F.posexplode(F.concat(*arrays)).alias("_at", seed))
-    # The arrays lie one after the other: back to the place within its own.
-    at = F.col("_at")
-    before, choice = F.lit(0), None
-    for size in sizes:
-        choice = (F.when(at < before + size, at - before) if choice is None else choice.when(at < before + size, at - before))
-        before = before + size
-    return dealt.withColumn(place, choice).drop("_at")
+    return paired.select("*", F.posexplode("held" if 1 in runs else "_pairs").alias("place", "lead"))
+
+
+def _seeds(places: DataFrame, gaps: Sequence[int], runs: Sequence[int]) -> DataFrame:
+    """One row per place and mask (or run of tokens) that fits in: its hash `seed`.
+
+    A seed is the hash of two pair hashes, so each token costs one small hash per mask, whatever the mask's span.
+    """
+    place, pairs, held = F.col("place"), F.col("_pairs"), F.col("held")
+    made = [F.when(place + gap < F.size(pairs), F.xxhash64(F.get(pairs, place), F.get(pairs, place + gap), F.lit(gap))) for gap in gaps]
+    made += [F.when(place + length <= F.size(held), F.xxhash64(F.lit(-length), *[F.get(held, place + k) for k in range(length)]))
+             for length in runs]
+    return places.withColumn("seed", F.explode(F.array(*made))).where(F.col("seed").isNotNull())
 
 
 def best_stretch(equal: Column, penalty: int = PENALTY) -> Column:
@@ -102,22 +92,41 @@ def short_runs(items: DataFrame, gaps: Sequence[int] = GAPS) -> list[int]:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, gaps: Sequence[int] = GAPS, min_tokens: int = MIN_TOKENS,
-             min_equal: float = MIN_EQUAL) -> DataFrame:
+             min_equal: float = MIN_EQUAL, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per contaminated (doc_id, item_id): the best stretch, with its tokens, equal tokens and place.
 
     `docs(doc_id, text)`, `benchmark(item_id, text)`. A stretch counts from `min_tokens` equal tokens on, or all tokens of
     a shorter item. NULL and tokenless texts overlap with nothing; repeated rows give one row per pair; among equally
     good stretches the first in the document counts; rows without id carry NULL; extra columns are ignored.
+
+    Up to `broadcast_rows` seeds the test set is broadcast and the documents stay where they are; the two tokens a
+    seed begins with are looked up first. A larger test set is met by shuffles, with the same result.
     """
-    items = save(benchmark.select("item_id", tokens(F.col("text")).alias("held")).where(F.size("held") > 0), "items")
+    items = save(benchmark.select("item_id", tokens(F.col("text")).alias("held")).where(F.size("held") > 0).distinct()
+                 .withColumn("item_key", F.xxhash64("item_id", "held")), "items")
     runs = short_runs(items, gaps)
-    seeds = save(_places(items, gaps, runs, "seed", "item_place").withColumnRenamed("held", "item_tokens").distinct(), "seeds")
-    if seeds.count() <= BROADCAST_ROWS:  # checked size; a larger test set is met by a shuffle
-        seeds = F.broadcast(seeds)
-    held = docs.select("doc_id", tokens(F.col("text")).alias("held"))
-    hits = _places(held, gaps, runs, "seed", "place").join(seeds, "seed")
+    seeds = save(_seeds(_positions(items.select("item_key", "held"), runs), gaps, runs)
+                 .select("seed", "lead", "item_key", F.col("place").alias("item_place")), "seeds")
+    marks = seeds.select("seed", "item_key", "item_place")
+    named = items.select("item_key", "item_id", F.col("held").alias("item_tokens"))
+    shift = (F.col("place") - F.col("item_place")).alias("shift")
+    # An item of n tokens has n / 5 seeds at least, so this bounds its tokens too: 40 bytes a seed, 24 without tokens.
+    if seeds.count() <= broadcast_rows:
+        held = docs.select("doc_id", tokens(F.col("text")).alias("held"))
+        led = _positions(held, runs).join(F.broadcast(seeds.select("lead").distinct()), "lead", "left_semi")
+        hits = (_seeds(led, gaps, runs).join(F.broadcast(marks), "seed").select("doc_id", "held", "item_key", shift)
+                .join(F.broadcast(named), "item_key"))
+    else:
+        # Seeds travel without their texts; texts meet the diagonals found, each once, by id and hash.
+        keyed = docs.select("doc_id", F.xxhash64("text").alias("_hash"), "text")
+        dealt = _seeds(_positions(keyed.select("doc_id", "_hash", tokens(F.col("text")).alias("held")), runs), gaps, runs)
+        found = (spread_join(dealt.select("doc_id", "_hash", "seed", "place"), marks, ["seed"], ["doc_id", "place"])
+                 .select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_of"), "item_key", shift).distinct())
+        met = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")))
+        hits = spread_join(met.select("doc_id", tokens(F.col("text")).alias("held"), "item_key", "shift"), named, ["item_key"],
+                           ["doc_id", "shift"])
     # The document's tokens under the item, clipped to the document, and where the item's first token would lie.
-    shift = F.col("place") - F.col("item_place")
+    shift = F.col("shift")
     low = F.greatest(shift, F.lit(0))
     span = F.least(F.size("held"), shift + F.size("item_tokens")) - low
     equal = F.zip_with(F.slice("held", low + 1, span), F.slice("item_tokens", low - shift + 1, span), lambda a, b: a == b)
