@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from usagelens.llm import crf, decontaminate, langid, lbl, licences, merkle, mixing, pii, simhash, urlfilter
+from usagelens.llm import (align, crf, decontaminate, jaccard, langid, lbl, licences, merkle, mixing, pii, simhash, urlfilter,
+                           variants)
 from usagelens.llm.common import held_out, table, trained_on
 
 
@@ -112,10 +113,23 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_fragment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))
+
+
+def op12_trie_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_jaccard_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {query.__name__: query for query in (
         op1_simhash_vptree, op2_pii_sanitise, op3_language_centroid, op4_mix_waterfill,
-        op5_spaced_seed_decontamination, op6_merkle_fingerprint, op7_lbl_score, op8_crf_quality, op9_bloom_cascade, op10_licence_scan)}
+        op5_spaced_seed_decontamination, op6_merkle_fingerprint, op7_lbl_score, op8_crf_quality, op9_bloom_cascade, op10_licence_scan,
+        op11_fragment_alignment, op12_trie_variants, op13_jaccard_orders)}
     return named | {"pipeline": corpus_pipeline.run}
 
 
