@@ -126,7 +126,7 @@ def near_words(found: DataFrame) -> DataFrame:
     strands = found.select("word", F.lit(">").alias("mark"), F.col("word").alias("strand"), half.alias("start")).union(
         found.select("word", F.lit("<"), F.reverse("word"), F.length("word") - half))
     edges = save(trie(strands), "edges")
-    ends = save(edges.where("ends").select(F.col("child").alias("node")).distinct(), "ends")
+    ends = strands.select(F.concat("mark", "strand").alias("node"))
     frontier = save(_first_states(strands, edges), "frontier")
     near = []
     while not frontier.isEmpty():
