@@ -9,7 +9,8 @@ on a word are neighbours.
 
 Two words one edit apart agree before and after the edit, so the edit lies in the second half of the
 word or, read backwards, in the second half of the reversed word. Both directions are walked in one
-table and start half-way down, where few edges leave a node.
+table; edits begin half-way down, where few edges leave a node. Edges also say how their child goes on, so
+that a state which can't be read further is not written.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
+from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +32,7 @@ LEAST_LENGTH = 7
 LEAST_COUNT = 2
 TIMES = 10
 ERROR_EVERY = 31
+HEAD = 4
 _FLUSH = 200_000
 
 
@@ -74,50 +78,70 @@ def words(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int =
             .groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count))
 
 
+def _built(rows: Iterator[tuple[str, str]]) -> Iterator[tuple[str, str, bool, str]]:
+    """(node, label, ends, nexts) per edge below the heads, for (mark, strand) in order, all of a head together.
+
+    `ends` and `nexts` say of the edge's child whether a strand ends there and with which code points it goes
+    on. The row of a head itself has an empty label. Only the path of the last strand is held.
+    """
+    path: list[list] = []  # [depth, ends, nexts]
+    last, mark = "", ""
+
+    def close(down_to: int) -> Iterator[tuple[str, str, bool, str]]:
+        while path and path[-1][0] > down_to:
+            depth, ends, nexts = path.pop()
+            if path and path[-1][0] < down_to:
+                path.append([down_to, False, ""])
+            if path:
+                above = path[-1]
+                above[2] += last[above[0]]
+                yield mark + last[:above[0]], last[above[0]:depth], ends, nexts
+            else:
+                yield mark + last[:depth], "", ends, nexts
+
+    for sign, strand in rows:
+        head = min(HEAD, len(strand))
+        same = path and sign == mark and last[:HEAD] == strand[:HEAD]
+        common = len(commonprefix((last, strand))) if same else -1
+        yield from close(common)
+        if not path:
+            path.append([head, len(strand) == head, ""])
+        if len(strand) > path[-1][0]:
+            path.append([len(strand), True, ""])
+        last, mark = strand, sign
+    yield from close(-1)
+
+
 def trie(strands: DataFrame) -> DataFrame:
-    """Edges (node, label, child, ends) of the trie of `strands(strand, mark, start)` below each strand's start.
+    """Edges (node, first, label, child, ends, nexts) of the trie of distinct `strands(mark, strand)`.
 
-    A node is its prefix after the strand's mark. Only nodes where strands part or end are kept: at any other
-    there is one way on and no edit can differ from it.
+    A node is its prefix after the mark. Down to `HEAD` code points every prefix is a node; below, only those
+    where strands part or end: at any other there is one way on and no edit can differ from it. `first`
+    begins the label; `ends` and `nexts` describe the child.
     """
-    heads = strands.select("mark", "strand", F.explode(F.expr("sequence(greatest(start - 1, 0), length(strand))")).alias("depth"))
-    heads = heads.select("mark", "strand", "depth", F.concat("mark", F.expr("substring(strand, 1, depth)")).alias("node"),
-                         F.expr("substring(strand, depth + 1, 1)").alias("next"))
-    nodes = (heads.groupBy("node").agg(F.min("next").alias("lo"), F.max("next").alias("hi"))
-             .where("lo <> hi OR lo = ''").select("node", (F.col("lo") == "").alias("ends")))
-    stops = heads.join(nodes, "node").groupBy("mark", "strand").agg(  # at most one stop per code point
-        F.sort_array(F.collect_list(F.struct("depth", "ends"))).alias("stops"))
-    steps = stops.select("mark", "strand", F.explode(F.expr(
-        "transform(sequence(1, size(stops)), k -> struct(get(stops, k - 1).depth as f, get(stops, k).depth as t, get(stops, k).ends as ends))"))
-        .alias("s")).where("s.t is not null")
-    return steps.select(F.concat("mark", F.expr("substring(strand, 1, s.f)")).alias("node"),
-                        F.expr("substring(strand, s.f + 1, s.t - s.f)").alias("label"),
-                        F.concat("mark", F.expr("substring(strand, 1, s.t)")).alias("child"),
-                        F.col("s.ends").alias("ends")).distinct()
-
-
-def _first_states(strands: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each strand at the first node at or below its start. The strand itself ends at a node, so there is one."""
-    nodes = edges.select(F.col("child").alias("node")).union(edges.select("node")).distinct()
-    tried = strands.select("word", "mark", "strand", F.explode(F.expr("sequence(start, length(strand))")).alias("depth"))
-    return (tried.withColumn("node", F.concat("mark", F.expr("substring(strand, 1, depth)"))).join(nodes, "node", "left_semi")
-            .groupBy("word", "mark", "strand").agg(F.min("depth").alias("depth"))
-            .select("word", F.expr("substring(strand, depth + 1)").alias("rest"),
-                    F.concat("mark", F.expr("substring(strand, 1, depth)")).alias("node"), F.lit(0).alias("edits")))
-
-
-def _state(rest: str, edits: int, holds: str) -> str:
-    return f"IF({holds}, named_struct('rest', substring(rest, {rest}), 'edits', {edits}), NULL)"
-
-
-# What reading `label` makes of a state; the edit is the first code point that differs from the strand itself.
-_MOVES = ", ".join([
-    _state("length(label) + 1", 0, "edits = 0 AND startswith(rest, label)"),
-    _state("length(label) + 1", 1, "edits = 1 AND startswith(rest, label)"),
-    _state("length(label) + 1", 1, "edits = 0 AND off AND rest <> '' AND startswith(substring(rest, 2), substring(label, 2))"),
-    _state("length(label)", 1, "edits = 0 AND off AND startswith(rest, substring(label, 2))"),
-    _state("length(label) + 2", 1, "edits = 0 AND off AND startswith(substring(rest, 2), label)"),
-])
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((m, s) for batch in batches for m, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        edges = _built(rows)
+        while part := list(islice(edges, 50_000)):
+            node, label, ends, nexts = zip(*part)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(label), pa.array(ends, pa.bool_()), pa.array(nexts)],
+                                             ["node", "label", "ends", "nexts"])
+
+    low = save(strands.select("mark", "strand").repartition("mark", F.expr(f"substring(strand, 1, {HEAD})"))
+               .sortWithinPartitions("mark", "strand").mapInArrow(build, "node string, label string, ends boolean, nexts string"),
+               "low")
+    # Strands shorter than a head share their head with none but longer ones of another row: sum up what is known of a node.
+    ways = low.where("label = ''").select("node", "ends", "nexts")
+    edges = low.where("label <> ''").select("node", "label", F.concat("node", "label").alias("child"), "ends", "nexts")
+    for _ in range(HEAD):
+        ways = save(ways.groupBy("node").agg(F.max("ends").alias("ends"), F.concat_ws("", F.collect_set("nexts")).alias("nexts")),
+                    "ways")  # a node has at most one way per code point
+        up = ways.where("length(node) > 1").select(
+            F.expr("substring(node, 1, length(node) - 1)").alias("node"), F.expr("substring(node, length(node))").alias("label"),
+            F.col("node").alias("child"), "ends", "nexts")
+        edges = edges.union(up)
+        ways = up.select("node", F.lit(False).alias("ends"), F.col("label").alias("nexts"))
+    return edges.distinct().withColumn("first", F.expr("substring(label, 1, 1)"))
 
 
 def near_words(found: DataFrame) -> DataFrame:
@@ -127,22 +151,37 @@ def near_words(found: DataFrame) -> DataFrame:
         found.select("word", F.lit("<"), F.reverse("word"), F.length("word") - half))
     edges = save(trie(strands), "edges")
     ends = strands.select(F.concat("mark", "strand").alias("node"))
-    frontier = save(_first_states(strands, edges), "frontier")
+    # `wait`: code points still to be read before an edit may come.
+    top = F.expr(f"least(start, {HEAD})")
+    frontier = strands.select("word", F.expr(f"substring(strand, least(start, {HEAD}) + 1)").alias("rest"),
+                              F.concat("mark", F.expr(f"substring(strand, 1, least(start, {HEAD}))")).alias("node"),
+                              F.lit(0).alias("edits"), (F.col("start") - top).alias("wait"))
     near = []
-    while not frontier.isEmpty():
+    while True:
+        open_states = frontier.where("edits = 0 AND wait <= 0")
         # A last code point too many is deleted on the spot; all other edits take an edge.
-        short = frontier.where("edits = 0 AND length(rest) = 1").join(ends, "node", "left_semi").select("word", "node")
-        moved = (frontier.join(edges, "node")
-                 .withColumn("off", F.expr("substring(label, 1, 1) <> substring(rest, 1, 1)"))
-                 .select("word", "child", "ends", F.explode(F.expr(f"filter(array({_MOVES}), s -> s is not null)")).alias("s"))
-                 .select("word", F.col("s.rest").alias("rest"), F.col("child").alias("node"), F.col("s.edits").alias("edits"),
-                         "ends"))
-        level = save(moved, "level")
-        done = level.where("edits = 1 AND rest = '' AND ends").select("word", "node")
-        near.append(short.union(done))
+        near.append(open_states.where("length(rest) = 1").join(ends, "node", "left_semi").select("word", "node"))
+        own = F.expr("startswith(rest, label)")
+        followed = (frontier.where("edits = 1 OR wait > 0").withColumn("first", F.expr("substring(rest, 1, 1)"))
+                    .join(edges, ["node", "first"]).where(own)
+                    .select("word", F.expr("substring(rest, length(label) + 1)").alias("rest"), F.col("child").alias("node"),
+                            "edits", F.expr("wait - length(label)").alias("wait"), "ends", "nexts"))
+        taken = (open_states.join(edges, "node").select(
+            "word", F.col("child").alias("node"), "ends", "nexts", F.expr("first = substring(rest, 1, 1)").alias("own"),
+            *[F.expr(sql).alias(name) for name, sql in _EDITS.items()])
+            .where(f"own OR {' OR '.join(f'{name} IS NOT NULL' for name in ('replaced', 'inserted', 'deleted'))}"))
+        taken = taken.select("word", "node", "ends", "nexts", F.inline(F.array(
+            F.struct(F.when(F.col("own"), F.col("kept")).alias("rest"), F.lit(0).alias("edits")),
+            *[F.struct(F.when(~F.col("own"), F.col(name)).alias("rest"), F.lit(1).alias("edits"))
+              for name in ("replaced", "inserted", "deleted")]))).where("rest IS NOT NULL")
+        level = save(followed.union(taken.select("word", "rest", "node", "edits", F.lit(0).alias("wait"), "ends", "nexts"))
+                     # What can neither end here nor go on is dropped at once.
+                     .where("edits = 0 OR (rest = '' AND ends) OR (rest <> '' AND instr(nexts, substring(rest, 1, 1)) > 0)")
+                     .drop("nexts"), "level")
+        near.append(level.where("edits = 1 AND rest = ''").select("word", "node"))
         frontier = level.where("edits = 0 OR rest <> ''").drop("ends")
-    if not near:
-        return found.select("word", F.col("word").alias("near")).limit(0)
+        if frontier.isEmpty():
+            break
     every = near[0]
     for part in near[1:]:
         every = every.union(part)
@@ -150,6 +189,15 @@ def near_words(found: DataFrame) -> DataFrame:
     return every.select("word", F.when(F.col("node").startswith("<"), F.reverse(name)).otherwise(name).alias("near")).distinct()
 
 
+# What is left of `rest` after reading `label` with an edit at its first code point, which differs from the strand's own.
+_EDITS = {
+    "kept": "substring(rest, length(label) + 1)",
+    "replaced": "IF(rest <> '' AND startswith(substring(rest, 2), substring(label, 2)), substring(rest, length(label) + 1), NULL)",
+    "inserted": "IF(startswith(rest, substring(label, 2)), substring(rest, length(label)), NULL)",
+    "deleted": "IF(startswith(substring(rest, 2), label), substring(rest, length(label) + 2), NULL)",
+}
+
+
 def _best(n: Column, word: Column) -> Column:
     """Largest n first, then the smallest word: an order that `min` understands."""
     return F.min(F.struct((-n).alias("n"), word.alias("word")))
