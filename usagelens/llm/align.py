@@ -7,20 +7,21 @@ one close one more group. So a long document is cut into chunks that different t
 `compose` steps puts it together; a short document is a single chunk.
 
 A chunk owns the tokens that end in its byte range, wherever the range is cut. To tokenise it apart from
-its neighbours its context is widened to the nearest safe cuts: before a space after a visible
-character both tokenizers start anew (the first one's pattern matches no space but a leading one,
-and no piece of the second one holds a space after another character, which is checked on loading).
-The strings between safe cuts repeat a lot, so each worker keeps the tokens of recent ones.
+its neighbours its context is widened to the nearest safe cuts: before a space or line break after a
+visible character both tokenizers start anew (the first one's pattern matches no white space there but a
+leading one; no piece of the second one holds a space after another character or a line break, which
+is checked on loading). The strings between safe cuts repeat a lot, so each worker keeps the tokens of
+recent ones.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,10 @@ PIECES = "piece_bpe_32k.model"
 CHUNK = 1 << 15
 FAN = 8
 HOT_PAIRS = 1 << 19
-_CACHED_UNITS = 200_000
-_SAFE = re.compile(r"(?<=[!-~\w])(?= )")
+_CACHED_UNITS = 500_000
+_BATCH_BYTES = 1 << 19
+# Fixed value: how byte-level BPE cuts a text before it merges bytes.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SAFE_END = re.compile(r"[!-~\w]\Z")
 
 Tokens = tuple[list[int], list[int]]
@@ -50,21 +53,6 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-def grouped(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple[list[Tokens], Tokens]:
-    """Groups between byte offsets where tokens of both end, and the tokens after the last of them."""
-    groups, i, j, from_a, from_b = [], 0, 0, 0, 0
-    while i < len(a) and j < len(b):
-        if a_ends[i] == b_ends[j]:
-            i, j = i + 1, j + 1
-            groups.append((a[from_a:i], b[from_b:j]))
-            from_a, from_b = i, j
-        elif a_ends[i] < b_ends[j]:
-            i += 1
-        else:
-            j += 1
-    return groups, (a[from_a:], b[from_b:])
-
-
 def written(group: Tokens) -> bytes:
     return b"%s|%s" % tuple(",".join(map(str, ids)).encode() for ids in group)
 
@@ -132,78 +120,118 @@ def compose(left: Fragment, right: Fragment, size_b: int) -> Fragment:
     return out
 
 
-def of_groups(groups: list[Tokens], rest: Tokens, size_b: int) -> Fragment:
-    """The fragment of a range in which these groups end and these tokens follow."""
-    if not groups:
-        return Fragment(head=rest)
-    out = Fragment(head=groups[0], tail=rest, cut=True)
-    for group in groups[1:]:
-        out.close(group, size_b)
-    return out
+@dataclass
+class Closed:
+    """All groups of several ranges: their text, with where each range's part ends, and one row per group or link."""
+
+    text: np.ndarray
+    text_ends: np.ndarray
+    counts: np.ndarray
+    pairs: np.ndarray
+    times: np.ndarray
+    pair_ends: np.ndarray
 
 
 class Tokenizers:
-    """Both tokenizers with the bytes of their tokens, and what is known of recent strings between safe cuts."""
+    """Both tokenizers with the bytes of their tokens, and the tokens of recent strings between safe cuts."""
 
     def __init__(self, folder: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        import tokenizers
 
-        self.a = tokenizers.Tokenizer.from_file(f"{folder}/{BYTE_LEVEL}")
-        self.a.encode_special_tokens = True
+        with open(f"{folder}/{BYTE_LEVEL}", encoding="utf-8") as file:
+            described = json.load(file)
+        vocabulary = described["model"]["vocab"]
+        self.encode_a = _merger(described)
+        if self.encode_a is None:
+            import tokenizers
+
+            whole = tokenizers.Tokenizer.from_file(f"{folder}/{BYTE_LEVEL}")
+            whole.encode_special_tokens = True
+            vocabulary = whole.get_vocab(with_added_tokens=True)
+            self.encode_a = lambda text: whole.encode(text, add_special_tokens=False).ids
         self.b = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{PIECES}")
         alphabet = byte_alphabet()
-        vocabulary = self.a.get_vocab(with_added_tokens=True)
         self.size_a, self.size_b = max(vocabulary.values()) + 1, self.b.get_piece_size()
         self.a_bytes = [b""] * self.size_a
         for token, k in vocabulary.items():
             self.a_bytes[k] = bytes(alphabet[c] for c in token)
         pieces = [self.b.id_to_piece(k) for k in range(self.size_b)]
-        if any(re.search("[^▁]▁", piece) for piece in pieces):
-            raise ValueError(f"{PIECES} has pieces with a space after another character; texts can't be cut at spaces")
+        if any(re.search("[^▁]▁|\n", piece) for piece in pieces):
+            raise ValueError(f"{PIECES} has pieces with a space after another character or a line break; texts can't be cut there")
         self.b_bytes = [bytes([int(piece[3:5], 16)]) if self.b.is_byte(k) else piece.replace("▁", " ").encode()
                         for k, piece in enumerate(pieces)]
+        self.lengths = [np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes)]
+        written_ids = [str(k) for k in range(max(self.size_a, self.size_b))]
+        self.width = np.array([len(x) for x in written_ids], np.int64)
+        self.digits = np.array([list(x.ljust(len(written_ids[-1])).encode()) for x in written_ids], np.uint8)
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.text: list[bytes] = []
-        self.pair_bytes: list[bytes] = []
-        self.table = np.zeros((1 << 12, 6), np.int64)  # tokens of A and B, groups, links, bytes differ, unsafe end
+        self.flags = np.zeros((1 << 12, 2), bool)  # bytes differ, no cut after it
+        self.ids = [np.zeros(1 << 14, np.int32) for _ in range(2)]
+        self.ends = [np.zeros((1 << 12) + 1, np.int64) for _ in range(2)]
 
     def learn(self, units: set[str]) -> None:
-        """Tokenise strings that start with a space and are not known yet."""
+        """Tokenise strings that start with a space or line break and are not known yet."""
         new = [unit for unit in units if unit not in self.known]
         if len(self.known) + len(new) > _CACHED_UNITS:
             self._forget()
             new = list(units)
         if not new:
             return
-        while len(self.table) < len(self.known) + len(new):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
-        by_a = encode(new, add_special_tokens=False)
-        # Nothing is put before an empty string, so a text's last space by itself is given its piece here.
-        by_b = [b or [self.b.piece_to_id("▁")] for b in self.b.encode([unit[1:] for unit in new], num_threads=1)]
-        a_bytes, b_bytes, size_b = self.a_bytes, self.b_bytes, self.size_b
-        for unit, encoded, b in zip(new, by_a, by_b):
-            a, raw, k = encoded.ids, unit.encode(), len(self.text)
-            of_a, of_b = [a_bytes[x] for x in a], [b_bytes[x] for x in b]
-            groups, _ = grouped(a, list(accumulate(map(len, of_a))), b, list(accumulate(map(len, of_b))))
-            linked = [x * size_b + y for ga, gb in groups for x in ga for y in gb]
-            self.known[unit] = k
-            self.text.append(b";".join(map(written, groups)))
-            self.pair_bytes.append(np.array(linked, np.int64).tobytes())
-            self.table[k] = (len(a), len(b), len(groups), len(linked),
-                             b"".join(of_a) != raw or b"".join(of_b) != raw, _SAFE_END.search(unit) is None)
+        # Strings that may be cut after are read in one go, and the tokens dealt to them by their bytes.
+        safe = [unit for unit in new if _SAFE_END.search(unit)]
+        if not self._add(safe):
+            for unit in safe:
+                self._add([unit], checked=True)
+        for unit in new:
+            if not _SAFE_END.search(unit):
+                self._add([unit], checked=True)
+                self.flags[self.known[unit], 1] = True
+
+    def _add(self, new: list[str], checked: bool = False) -> bool:
+        """Add strings to the cache by one call of each tokenizer; False if their bytes differ and there are several."""
+        if not new:
+            return True
+        text = "".join(new)
+        raw = text.encode()
+        a = self.encode_a(text)
+        # The space that is put before a text is its own first one, or one that a line break stays apart from. Nothing
+        # is put before an empty text, so a last space by itself is given its piece here.
+        b = (self.b.encode(text[1:]) or [self.b.piece_to_id("▁")]) if text[0] == " " else self.b.encode(text)[1:]
+        differs = any(b"".join(map(table.__getitem__, ids)) != raw for table, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+        if differs and not checked:
+            return False
+        first, last = len(self.known), len(self.known) + len(new)
+        bounds = np.cumsum([len(unit.encode()) for unit in new])
+        self.known.update(zip(new, range(first, last)))
+        self.flags = _room(self.flags, last)
+        self.flags[first:last, 0] = differs
+        for side, found in enumerate((a, b)):
+            ids = np.array(found, np.int32)
+            upto = np.searchsorted(np.cumsum(self.lengths[side][ids]), bounds) + 1 if len(new) > 1 else len(ids)
+            self.ends[side] = _room(self.ends[side], last + 1)
+            lo = self.ends[side][first]
+            self.ends[side][first + 1:last + 1] = lo + upto
+            self.ids[side] = _room(self.ids[side], lo + len(ids))
+            self.ids[side][lo:lo + len(ids)] = ids
+        return True
 
     def units(self, context: str) -> tuple[list[str], np.ndarray]:
-        """`context`, which starts with a space, cut wherever it is safe, and the places of its parts in the cache."""
-        units = [" " + part for part in context[1:].split(" ")]
+        """`context`, which starts with a space or line break, cut wherever it is safe; the places of its parts in the cache."""
+        lead, *lines = context.split("\n")
+        units = [" " + part for part in lead[1:].split(" ")] if lead else []
+        for line in lines:
+            head, *parts = line.split(" ")
+            units.append("\n" + head)
+            units += [" " + part for part in parts]
         at = self._places(units)
-        if self.table[at[:-1], 5].any():
-            units = _SAFE.split(context)
+        apart = ~self.flags[at[:-1], 1]
+        if not apart.all():
+            starts = [0, *(np.flatnonzero(apart) + 1).tolist(), len(units)]
+            units = ["".join(units[lo:hi]) if hi - lo > 1 else units[lo] for lo, hi in zip(starts, starts[1:])]
             at = self._places(units)
         return units, at
 
@@ -214,44 +242,132 @@ class Tokenizers:
             self.learn(set(units))
             return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
 
+    def tokens(self, side: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and byte ends of one tokenizer over known strings in a row."""
+        start, size = self.ends[side][at], self.ends[side][at + 1] - self.ends[side][at]
+        before = np.cumsum(size) - size
+        ids = self.ids[side][np.repeat(start - before, size) + np.arange(size.sum())]
+        return ids, np.cumsum(self.lengths[side][ids])
+
+    def close(self, a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, bounds: np.ndarray) -> Closed:
+        """All groups of ranges that end at the byte offsets `bounds`, where tokens of both end."""
+        total = int(bounds[-1]) + 1 if len(bounds) else 1
+        is_end = np.zeros((2, total), bool)
+        is_end[0, a_ends], is_end[1, b_ends] = True, True
+        last_a, last_b = is_end[1, a_ends], is_end[0, b_ends]
+        of_a, of_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        groups = int(last_a.sum())
+        n_a, n_b = np.bincount(of_a, minlength=groups), np.bincount(of_b, minlength=groups)
+        from_a, from_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        # Written: the tokens of A of a group, then those of B; the last of each kind is followed by | or ;
+        ids, sep = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        at_a = np.arange(len(a)) + from_b[of_a]
+        at_b = np.arange(len(b)) + (from_a + n_a)[of_b]
+        ids[at_a], ids[at_b] = a, b
+        sep[at_a[last_a]], sep[at_b[last_b]] = ord("|"), ord(";")
+        width = self.width[ids]
+        ends = np.cumsum(width + 1)
+        text = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+        text[ends - 1] = sep
+        for k in range(self.digits.shape[1]):
+            held = width > k
+            text[(ends - 1 - width)[held] + k] = self.digits[ids[held], k]
+        # Links: every token of A with every token of B of its group.
+        times_b = n_b[of_a]
+        before = np.cumsum(times_b) - times_b
+        linked_b = b[np.repeat(from_b[of_a] - before, times_b) + np.arange(times_b.sum())]
+        pair = np.repeat(a.astype(np.int64) * self.size_b, times_b) + linked_b
+        range_a, range_b = np.searchsorted(bounds, a_ends), np.searchsorted(bounds, b_ends)
+        n = len(bounds)
+        group_range = range_a[last_a]
+        counts = np.stack([np.bincount(range_a, minlength=n), np.bincount(range_b, minlength=n),
+                           np.bincount(group_range, minlength=n), np.bincount(group_range, n_a * n_b, n).astype(np.int64)], 1)
+        key = np.sort(np.repeat(range_a, times_b) * (self.size_a * self.size_b) + pair)
+        fresh = np.flatnonzero(np.diff(key, prepend=-1))
+        key, times = key[fresh], np.diff(fresh, append=len(key))
+        text_ends = np.cumsum(np.bincount(np.concatenate([range_a, range_b]), width[np.concatenate([at_a, at_b])] + 1, n)
+                              ).astype(np.int64)
+        return Closed(text, text_ends, counts, key % (self.size_a * self.size_b), times,
+                      np.cumsum(np.bincount(key // (self.size_a * self.size_b), minlength=n)))
+
+    def stats(self, contexts: list[str]) -> list[tuple]:
+        """What `_stats` gives, for whole texts (each with its leading space) that are a chunk of their own."""
+        self._make_room(contexts)
+        places = [self.units(context)[1] for context in contexts]
+        whole = [k for k, at in enumerate(places) if not self.flags[at, 0].any()]
+        out: list[tuple] = [_NOTHING] * len(contexts)
+        if whole:
+            at = np.concatenate([places[k] for k in whole])
+            a, a_ends = self.tokens(0, at)
+            b, b_ends = self.tokens(1, at)
+            sizes = np.array([len(contexts[k].encode()) for k in whole])
+            closed = self.close(a, a_ends, b, b_ends, np.cumsum(sizes))
+            kind, text, lo, p = _pair_type(self.size_b), memoryview(closed.text), 0, 0
+            for k, counts, hi, q in zip(whole, closed.counts.tolist(), closed.text_ends.tolist(), closed.pair_ends.tolist()):
+                out[k] = (*counts, hashlib.sha256(text[lo:hi - 1]).hexdigest(), closed.pairs[p:q].astype(kind).tobytes(),
+                          closed.times[p:q].astype(np.int32).tobytes())
+                lo, p = hi, q
+        return out
+
+    def _make_room(self, contexts: list[str]) -> None:
+        """Make room first, so that places found for one text still hold when the next one is read."""
+        if len(self.known) + sum(map(len, contexts)) // 2 > _CACHED_UNITS:
+            self._forget()
+
     def fragment(self, context: str, before: int = 0, own: int | None = None) -> Fragment:
         """Fragment of the `own` bytes of `context` after the first `before` ones; all of it by default."""
-        units, at = self.units(context)
-        whole = not self.table[at, 4].any()
-        out = Fragment(whole=whole)
-        if not whole:
+        _, at = self.units(context)
+        out = Fragment(whole=not self.flags[at, 0].any())
+        if not out.whole:
             return out
-        first, last = 0, len(units)
-        if own is not None:
-            ends = np.cumsum([len(unit.encode()) for unit in units])
-            starts, upto = ends - np.diff(ends, prepend=0), before + own
-            inside = np.flatnonzero((starts >= before) & (ends <= upto))
-            first, last = (int(inside[0]), int(inside[-1]) + 1) if len(inside) else (len(units), len(units))
-            for k in np.flatnonzero((starts < before) & (ends > before)):
-                out = compose(out, self._part(at[k], int(starts[k]), before, upto), self.size_b)
+        sides = []
+        for side in range(2):
+            ids, ends = self.tokens(side, at)
+            mine = (ends > before) & (ends <= before + own) if own is not None else np.ones(len(ids), bool)
+            sides.append((ids[mine], ends[mine]))
+        (a, a_ends), (b, b_ends) = sides
+        common = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        if not len(common):
+            out.head = a.tolist(), b.tolist()
+            return out
+        first, last, out.cut = common[0], common[-1], True
+        out.head = a[a_ends <= first].tolist(), b[b_ends <= first].tolist()
+        out.tail = a[a_ends > last].tolist(), b[b_ends > last].tolist()
         if first < last:
-            groups = [parsed(group) for group in self.text[at[first]].split(b";")]
-            out = compose(out, of_groups(groups, ([], []), self.size_b), self.size_b)
-            more = at[first + 1:last]
-            if len(more):
-                out.body = [*out.body, *[self.text[k] for k in more]]
-                out.counts = out.counts + self.table[more, :4].sum(axis=0)
-                linked = np.frombuffer(b"".join([self.pair_bytes[k] for k in more]), np.int64)
-                out.pairs, out.times = [*out.pairs, linked], [*out.times, np.ones(len(linked), np.int64)]
-        if own is not None:
-            for k in np.flatnonzero((starts >= before) & (starts < upto) & (ends > upto)):
-                out = compose(out, self._part(at[k], int(starts[k]), before, upto), self.size_b)
+            mid_a, mid_b = (a_ends > first) & (a_ends <= last), (b_ends > first) & (b_ends <= last)
+            closed = self.close(a[mid_a], a_ends[mid_a] - first, b[mid_b], b_ends[mid_b] - first, np.array([last - first]))
+            out.body, out.counts = [closed.text[:-1].tobytes()], closed.counts[0]
+            out.pairs, out.times = [closed.pairs], [closed.times]
         return out
 
-    def _part(self, unit: int, start: int, before: int, upto: int) -> Fragment:
-        """Fragment of the tokens of one string that end after byte `before` and not after `upto`."""
-        kept = []
-        for ids, size in zip(zip(*[parsed(group) for group in self.text[unit].split(b";")]), (self.a_bytes, self.b_bytes)):
-            flat = [x for group in ids for x in group]
-            ends = [start + end for end in accumulate(len(size[x]) for x in flat)]
-            mine = [k for k, end in enumerate(ends) if before < end <= upto]
-            kept += [[flat[k] for k in mine], [ends[k] for k in mine]]
-        return of_groups(*grouped(*kept), self.size_b)
+
+def _merger(described: dict) -> Callable[[str], list[int]] | None:
+    """The file's merges, run by the faster library, if the file says no more than that library does.
+
+    Special tokens are not told to it, so their strings are plain text.
+    """
+    import tiktoken
+
+    model, cutter = described["model"], described["pre_tokenizer"] or {}
+    merged = ("".join(pair if isinstance(pair, list) else pair.split(" ")) for pair in model["merges"])
+    plain = (cutter.get("type") == "ByteLevel" and cutter.get("use_regex") and not cutter.get("add_prefix_space")
+             and described["normalizer"] is None and not model.get("dropout") and not model.get("ignore_merges")
+             and all(model["vocab"].get(token) == 256 + k for k, token in enumerate(merged)))
+    if not plain:
+        return None
+    alphabet = byte_alphabet()
+    ranks = {bytes(alphabet[c] for c in token): k for token, k in model["vocab"].items()}
+    return tiktoken.Encoding("byte level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def _room(held: np.ndarray, size: int) -> np.ndarray:
+    """`held`, with space for `size` rows."""
+    while len(held) < size:
+        held = np.concatenate([held, np.zeros_like(held)])
+    return held
+
+
+_NOTHING = (0, 0, 0, 0, "", b"", b"")
 
 
 _loaded: dict[str, Tokenizers] = {}
@@ -266,7 +382,7 @@ def loaded(folder: str) -> Tokenizers:
 def ranges(raw: bytes, chunk: int) -> Iterator[tuple[int, int, int, int]]:
     """(context from, context to, from, to) of each chunk of a long text; one text between safe cuts gets one edge at most."""
     held = np.frombuffer(raw, np.uint8)
-    safe = np.flatnonzero((held[1:] == 0x20) & (held[:-1] >= 0x21) & (held[:-1] <= 0x7E)) + 1
+    safe = np.flatnonzero(((held[1:] == 0x20) | (held[1:] == 0x0A)) & (held[:-1] >= 0x21) & (held[:-1] <= 0x7E)) + 1
     safe = np.concatenate([[0], safe, [len(raw)]])
     edges, taken = [0], -1
     for edge in range(chunk, len(raw), chunk):
@@ -286,10 +402,10 @@ _STATS_ARROW = pa.schema([(name, pa.int64()) for name in ("n_a", "n_b", "n_group
                          + [("groups_sha256", pa.string()), ("pairs", pa.binary()), ("times", pa.binary())])
 
 
-def _stats(fragment: Fragment | None, size_b: int) -> tuple:
+def _stats(fragment: Fragment, size_b: int) -> tuple:
     """The finished document: its prefix is closed by the start of the text, its suffix is empty."""
-    if fragment is None or not fragment.whole:
-        return 0, 0, 0, 0, "", b"", b""
+    if not fragment.whole:
+        return _NOTHING
     out = Fragment(cut=True)
     out.close(fragment.head, size_b)
     out.append(fragment)
@@ -335,9 +451,10 @@ def aligned(docs: DataFrame, folder: str = TOKENIZERS, chunk: int = CHUNK, fan:
         for batch in batches:
             texts = batch.column(1)
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-            for lo, hi in chunks(sizes, 4 << 20, 1 << 10):
-                part = [" " + x if x else None for x in texts.slice(lo, hi - lo).to_pylist()]
-                found = [_stats(own.fragment(x) if x else None, own.size_b) for x in part]
+            for lo, hi in chunks(sizes, _BATCH_BYTES, 1 << 10):
+                part = texts.slice(lo, hi - lo).to_pylist()
+                scored = iter(own.stats([" " + x for x in part if x]))
+                found = [next(scored) if x else _NOTHING for x in part]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *_columns(found, _STATS_ARROW)],
                                                  ["doc_id", *_STATS_ARROW.names])
 
