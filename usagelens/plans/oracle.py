@@ -490,6 +490,60 @@ def _models() -> dict[str, str]:
     }
 
 
+def _leading(number: int, gram: str) -> str:
+    """Tables `top<number>` (c, w) and `size<number>` (value): the leading eigenvector of a matrix (i, j, v), from its powers.
+
+    Squared again and again, with its trace kept at 1, the matrix turns into w wᵀ.
+    """
+    share = "v / sum(CASE WHEN i = j THEN v ELSE 0 END) OVER ()"
+    return f"""power{number}(n, i, j, v) AS (SELECT 0, i, j, {share} FROM {gram} UNION ALL SELECT n + 1, i, j, {share} FROM (
+            SELECT p.n AS n, p.i AS i, q.j AS j, sum(p.v * q.v) AS v FROM power{number} p JOIN power{number} q ON p.j = q.i
+            WHERE p.n < 15 GROUP BY p.n, p.i, q.j)),
+        outer{number} AS MATERIALIZED (SELECT i, j, v FROM power{number} WHERE n = 15),
+        top{number} AS MATERIALIZED (SELECT i AS c, v / sqrt((SELECT max(v) FROM outer{number} WHERE i = j)) AS w FROM outer{number}
+            WHERE j = (SELECT i FROM outer{number} WHERE i = j ORDER BY v DESC, i LIMIT 1)),
+        size{number} AS MATERIALIZED (SELECT sum(p.w * g.v * q.w) AS value FROM {gram} g JOIN top{number} p ON g.i = p.c
+            JOIN top{number} q ON g.j = q.c)"""
+
+
+def _components(names: list[str], x: str, result: str) -> str:
+    """`result` over the tables `x` (r, c, v), whose columns have mean 0, and `loading` (component, c, w): two components."""
+    body = f""", x AS MATERIALIZED ({x}),
+        gram1 AS MATERIALIZED (SELECT p.c AS i, q.c AS j, sum(p.v * q.v) AS v FROM x p JOIN x q ON p.r = q.r GROUP BY p.c, q.c),
+        {_leading(1, "gram1")},
+        gram2 AS MATERIALIZED (SELECT i, j, v - value * p.w * q.w AS v FROM gram1 JOIN top1 p ON i = p.c JOIN top1 q ON j = q.c, size1),
+        {_leading(2, "gram2")},
+        signed AS (SELECT 1 AS component, c, w FROM top1 UNION ALL SELECT 2, c, w FROM top2),
+        loading AS MATERIALIZED (SELECT component, c, w * CASE WHEN max_by(w, abs(w)) OVER (PARTITION BY component) >= 0 THEN 1 ELSE -1 END AS w
+            FROM signed)
+        {result}"""
+    return _with(names, body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _projections() -> dict[str, str]:
+    names = ("num_players", "avg_hours", "total_hours")
+
+    def stacked(scaled: str) -> str:
+        one = " UNION ALL ".join(f"SELECT item AS r, '{n}' AS c, {n} - avg({n}) OVER () AS v FROM scaled" for n in names)
+        return f"WITH scaled AS ({scaled}) {one}"
+
+    quartiles = ", ".join(f"median(ln(1 + {n})) AS {n}_m, quantile_cont(ln(1 + {n}), 0.75) - quantile_cont(ln(1 + {n}), 0.25) AS {n}_s"
+                          for n in names)
+    robust = ", ".join(f"(ln(1 + {n}) - {n}_m) / CASE WHEN {n}_s = 0 THEN 1 ELSE {n}_s END AS {n}" for n in names)
+    standard = ", ".join(f"coalesce(({n} - avg({n}) OVER ()) / nullif(stddev_pop({n}) OVER (), 0), 0) AS {n}" for n in names)
+    places = """SELECT r AS {key}, round(sum(v * w) FILTER (WHERE component = 1), 6) AS pca1,
+        round(sum(v * w) FILTER (WHERE component = 2), 6) AS pca2 FROM x JOIN loading USING (c) GROUP BY r"""
+    return {
+        "item_pca": _components(["feat"], stacked(f"SELECT item, {robust} FROM feat, (SELECT {quartiles} FROM feat)"),
+                                places.format(key="item")),
+        "item_pca_components": _components(["feat"], stacked(f"SELECT item, {standard} FROM feat"), """
+            SELECT component, c AS feature, round(w, 6) AS loading,
+            round(CASE component WHEN 1 THEN (SELECT value FROM size1) ELSE (SELECT value FROM size2) END
+                  / (SELECT sum(v) FROM gram1 WHERE i = j), 6) AS explained_ratio FROM loading"""),
+        "user_pca": _components(["z"], "SELECT user_id AS r, item AS c, z AS v FROM z", places.format(key="user_id")),
+    }
+
+
 def _settled(sql: str) -> str:
     """Turn `round(x, 6)` into `round(round(x, 9), 6)`.
 
@@ -511,7 +565,7 @@ def _settled(sql: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    groups = (_usage(), _segments(), _retention(), _distribution(), _catalog(), _sources(), _profile(), _models())
+    groups = (_usage(), _segments(), _retention(), _distribution(), _catalog(), _sources(), _profile(), _models(), _projections())
     queries = {name: sql for group in groups for name, sql in group.items()}
     for name in ("similar_users", "recommend_items"):
         queries[f"{name}_given"] = queries[name].replace("SELECT min(user_id) FROM b", "SELECT max(user_id) FROM b")
