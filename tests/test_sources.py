@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import column
 from usagelens.schema import INTERACTIONS
@@ -138,3 +139,44 @@ def test_quoted_line_breaks(spark, tmp_path):
     path = _write(tmp_path / "catalog.csv", 'title,genre\n"A\nB",rpg\nC,fps\n')
     assert sorted(tuple(r) for r in files.scan_catalog(spark, path).collect()) == [("A\nB", "rpg"), ("C", "fps")]
     assert files.read_csv_tolerant(spark, path).count() == 2 and files.read_typed_csv(spark, path).count() == 2
+
+
+def _python_records(path):
+    import csv
+    with open(path, encoding="utf-8", newline="") as file:
+        return [tuple(row) for row in csv.reader(file) if row]
+
+
+@pytest.mark.parametrize("split", [64, 700, 1 << 20])
+def test_records_do_not_depend_on_splits(spark, tmp_path, split):
+    """Quoted line breaks, stray quotes and blank lines, in files cut at any place."""
+    import csv
+    import random
+    rng = random.Random(split)
+    cells = ["plain", "two\nlines", "", 'a "quoted" word', "\n\n", "x" * 90, "comma, here", '5" disk\n"', "end\n"]
+    path = str(tmp_path / "many.csv")
+    with open(path, "w", encoding="utf-8", newline="") as file:
+        file.write('name,genre,note\n')
+        writer = csv.writer(file, lineterminator="\n")
+        for i in range(400):
+            writer.writerow([f"t{i}", rng.choice(cells), rng.choice(cells)])
+            if i % 50 == 0:
+                file.write('s%d,5" disk,x"y\n\n' % i)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        records = files.read_records(spark, path).orderBy("file", "start", "line")
+        assert split > 1000 or records.select("start").distinct().count() > 5
+        got = [tuple(r.f) for r in records.select(shaping.fields_of(records["value"]).alias("f")).collect()]
+        assert got == _python_records(path)
+        found = files.scan_catalog(spark, path, keep=("genre",))
+        assert sorted((r.title, r.genre or "") for r in found.collect()) == sorted(row[:2] for row in _python_records(path)[1:])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_batches_have_a_size(spark, tmp_path):
+    files.write_batches(spark.range(25_000).coalesce(1), str(tmp_path / "t"))
+    assert sorted(r["count"] for r in spark.read.parquet(str(tmp_path / "t")).groupBy(
+        F.input_file_name()).count().collect()) == [5_000, 10_000, 10_000]

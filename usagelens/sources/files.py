@@ -6,13 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from usagelens.functions.numeric import to_double
 from usagelens.schema import ENCODINGS, RAW_INTERACTIONS
-from usagelens.sources.shaping import (cast_inferred_types, normalize_column_names, pad_ragged_rows,
+from usagelens.sources.records import first_record, read_records
+from usagelens.sources.shaping import (cast_inferred_types, fields_of, normalize_column_names, pad_ragged_rows,
                                        sanitized_names)
 
 _QUOTING = {"quote": '"', "escape": '"'}
+BATCH_ROWS = 10_000
 
 
 def scan_interactions(spark: SparkSession, path: str, text_ids: bool = False) -> DataFrame:
@@ -31,12 +34,20 @@ def scan_interactions(spark: SparkSession, path: str, text_ids: bool = False) ->
     return raw.select("user_id" if text_ids else checked.alias("user_id"), "item", "behavior", to_double(F.col("hours")).alias("hours"))
 
 
-def scan_catalog(spark: SparkSession, path: str, keep: Sequence[str] = ("genre",), multi_line: bool = True) -> DataFrame:
-    """Catalogue with a header: the first column as title, plus the named ones.
+def _table(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
+    """CSV with a header as text columns, named by the first record; quoted fields may hold line breaks."""
+    head = (first_record(spark, path, encoding) or "").removeprefix("\ufeff")
+    named = spark.createDataFrame([(head,)], "value string").select(fields_of(F.col("value"))).first()[0]
+    names = [name or f"_c{i}" for i, name in enumerate(named)]
+    places = StructType([StructField(f"c{i}", StringType()) for i in range(len(names))])
+    rows = read_records(spark, path, header=True, encoding=encoding)
+    return rows.select(F.from_csv("value", places.simpleString()[7:-1].replace(":", " "), _QUOTING).alias("r")).select(
+        *[F.col("r")[f"c{i}"].alias(name) for i, name in enumerate(names)])
 
-    `multi_line` (here and below) lets quoted fields hold line breaks; a file is then read by one task.
-    """
-    df = spark.read.options(multiLine=multi_line, **_QUOTING).csv(path, header=True)
+
+def scan_catalog(spark: SparkSession, path: str, keep: Sequence[str] = ("genre",)) -> DataFrame:
+    """Catalogue with a header: the first column as title, plus the named ones. Fields may hold line breaks."""
+    df = _table(spark, path)
     return df.select(F.col(f"`{df.columns[0]}`").alias("title"), *keep)
 
 
@@ -51,15 +62,13 @@ def read_lines(spark: SparkSession, path: str, header: bool = False, encoding: s
 
 def read_ragged_csv(spark: SparkSession, path: str, header: bool = True, width: int | None = None) -> DataFrame:
     """Records of differing length as text columns by position, as wide as the longest record."""
-    return pad_ragged_rows(read_lines(spark, path, header), width=width)
+    return pad_ragged_rows(read_records(spark, path, header).select("value"), width=width)
 
 
-def read_typed_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_typed_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header to a table with usable column names and the types its values allow."""
-    reader = spark.read.options(multiLine=multi_line, **_QUOTING)
-    names = reader.csv(path, header=False).first()
-    df = reader.csv(path, header=True)
-    return cast_inferred_types(df.toDF(*sanitized_names([name or "" for name in names])))
+    df = _table(spark, path)
+    return cast_inferred_types(df.toDF(*sanitized_names(df.columns)))
 
 
 def _decodes(spark: SparkSession, path: str, encoding: str) -> bool:
@@ -67,8 +76,7 @@ def _decodes(spark: SparkSession, path: str, encoding: str) -> bool:
     return read_lines(spark, path, encoding=encoding).where(F.contains("value", F.lit("\ufffd"))).isEmpty()
 
 
-def read_csv_tolerant(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS,
-                      multi_line: bool = True) -> DataFrame:
+def read_csv_tolerant(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
     """Catalogue of unknown encoding, with normalised column names.
 
     Takes the first encoding all bytes agree with. The first record names the columns, whether or not
@@ -78,9 +86,7 @@ def read_csv_tolerant(spark: SparkSession, path: str, encodings: Sequence[str] =
     tried = list(dict.fromkeys(charset.get(e, e) for e in encodings))
     for encoding in tried:
         if encoding == "ISO-8859-1" or _decodes(spark, path, encoding):
-            df = spark.read.options(encoding=encoding, multiLine=multi_line, **_QUOTING).csv(path, header=True)
-            first = df.columns[0].lstrip("\ufeff")
-            return normalize_column_names(df.toDF(first, *df.columns[1:]))
+            return normalize_column_names(_table(spark, path, encoding))
     raise ValueError(f"none of {tuple(encodings)} decodes {path}")
 
 
@@ -90,12 +96,12 @@ def write_report_csv(df: DataFrame, path: str, header: bool = True) -> None:
                      **_QUOTING).mode("overwrite").csv(path)
 
 
-def write_batches(df: DataFrame, path: str, rows_per_file: int = 0) -> None:
-    """Load a table, in files of limited size where `rows_per_file` is given."""
+def write_batches(df: DataFrame, path: str, rows_per_file: int = BATCH_ROWS) -> None:
+    """Load a table in batches: no file holds more than `rows_per_file` rows (0: no limit)."""
     df.write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").parquet(path)
 
 
-def save_typed_table(df: DataFrame, table: str, rows_per_file: int = 0) -> None:
+def save_typed_table(df: DataFrame, table: str, rows_per_file: int = BATCH_ROWS) -> None:
     df.write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").saveAsTable(table)
 
 

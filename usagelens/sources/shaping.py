@@ -90,7 +90,7 @@ def cast_inferred_types(df: DataFrame, types: dict[str, str] | None = None) -> D
     return df.select(*[typed(c).alias(c) for c in df.columns])
 
 
-def _fields(line: Column) -> Column:
+def fields_of(line: Column) -> Column:
     """Fields of one CSV record; quotes may hold commas and doubled quotes."""
     raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"[^,]*|[^,]*)'), F.lit(1))
     opened = F.transform(raw, lambda f: F.regexp_replace(f, r'\A"((?:[^"]|"")*)"', "$1"))
@@ -102,7 +102,7 @@ def pad_ragged_rows(lines: DataFrame, line: str = "value", width: int | None = N
 
     Without a width the longest record sets it, which takes one extra pass.
     """
-    fields = lines.select(_fields(F.col(line)).alias("f"))
+    fields = lines.select(fields_of(F.col(line)).alias("f"))
     if width is None:
         width = fields.agg(F.max(F.size("f"))).first()[0] or 0
     return fields.select(*[F.coalesce(F.get("f", F.lit(i)), F.lit("")).alias(name)
