@@ -133,3 +133,23 @@ def test_pipeline_stages(spark, awkward, tmp_path):
             docs = stage(spark, docs, str(tmp_path))
             assert docs.columns[:len(awkward.columns)] == awkward.columns
         docs.count()
+
+
+def test_columns_with_the_names_of_internal_ones(spark, benchmark):
+    """Filtering stages pass on extra columns, whatever they are called."""
+    names = ["_gone", "_hit", "_doc", "_labelled", "fp", "component_id", "label", "rep", "token", "held", "s", "a.b"]
+    docs = spark.createDataFrame([(1, "one two three", *names), (2, "one two three", *names), (3, "all other words here", *names)],
+                                 "doc_id long, text string, " + ", ".join(f"`{name}` string" for name in names))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(row[0] for row in kept.collect()) == [1, 3]
+    kept = decontaminate.keep_clean(docs, benchmark)
+    assert kept.columns == docs.columns and [row[0] for row in kept.collect()] == [3]
+
+
+def test_text_ids_have_an_order(spark):
+    docs = spark.createDataFrame([("a", "one text"), ("b", "two texts"), ("c", "three")], "doc_id string, text string")
+    rows = {row["doc_id"]: row for row in merkle.fingerprints(docs).collect()}
+    assert rows.keys() == {"a", "b", "c"} and rows["b"]["n_chars"] == 9
+    numbered = spark.createDataFrame([(1, "one text"), (2, "two texts"), (3, "three")], "doc_id long, text string")
+    by_number = {row["doc_id"]: tuple(row)[1:] for row in merkle.fingerprints(numbered).collect()}
+    assert {"abc".index(key) + 1: tuple(row)[1:] for key, row in rows.items()} == by_number

@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
                 yield pa.RecordBatch.from_arrays([pa.array([features.tobytes()]), pa.array([weights.tobytes()]), pa.array([quality], pa.int32())],
                                                  ["features", "weights", "quality"])
 
-    rows = (docs.join(chosen, docs["doc_id"] == F.col("_labelled"))
+    rows = (docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_labelled"))
             .select(F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.col("quality").cast("int"))
             .mapInArrow(describe, "features binary, weights binary, quality int"))
     # In a fixed order, so that runs agree to the last digit of a sum.

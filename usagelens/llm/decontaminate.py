@@ -145,6 +145,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, gaps: Sequence[int] = GAPS,
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Rows of `docs` whose doc_id overlaps with no benchmark item; rows without doc_id stay."""
-    hit = overlaps(docs.select("doc_id", "text"), benchmark, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"] == F.col("_hit"), "left_anti")
+    """Rows of `docs` whose doc_id overlaps with no benchmark item; rows without doc_id stay.
+
+    NULL and empty texts overlap with nothing; rows that repeat a doc_id stay or go together. Extra columns may have
+    any names; an empty table stays empty, and an empty benchmark removes nothing.
+    """
+    hit = overlaps(docs.select("doc_id", "text"), benchmark, **options).select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti").select(*[f"`{name}`" for name in docs.columns])

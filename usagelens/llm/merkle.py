@@ -23,6 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from usagelens.functions import ordered
 
 SPAN = 5
 # A span: blanks before a word belong to it, blanks after the last word of a paragraph too.
@@ -89,7 +92,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce("doc_id", F.lit(-(1 << 62)) - F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
+    docs = docs.select("doc_id", "text", F.col("doc_id").alias("place"))
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):  # other ids are placed by their rank
+        ranks = ordered.dense_codes(docs.where(F.col("doc_id").isNotNull()), "doc_id", "rank")
+        docs = docs.join(ranks, "doc_id", "left").select("doc_id", "text", F.col("rank").alias("place"))
+    key = F.coalesce(F.col("place").cast("long"), F.lit(-(1 << 62)) - F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
     keyed = docs.select("doc_id", "text", key.alias("key"))
     asked = [i / parts for i in range(1, parts)]
     cuts = np.unique(np.array(keyed.agg(F.percentile_approx("key", asked, 10 * parts)).first()[0] or [], np.int64))

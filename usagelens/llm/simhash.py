@@ -244,10 +244,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_B
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """Rows of `docs` without those whose group holds a smaller doc_id; all columns stay as they are.
 
-    A repeated doc_id stays if any of its rows names its group. Rows without doc_id stay.
+    A repeated doc_id stays if any of its rows names its group. Rows without doc_id stay. NULL and wordless texts are
+    one group. Extra columns may have any names; an empty table stays empty.
     """
     groups = near_duplicates(docs.select("doc_id", "text"), **options)
     dropped = (groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
                .agg(F.max(F.col("doc_id") == F.col("component_id")).alias("names"))
-               .where(~F.col("names")).select(F.col("doc_id").alias("_gone")))
-    return docs.join(dropped, docs["doc_id"] == F.col("_gone"), "left_anti")
+               .where(~F.col("names")).select("doc_id"))
+    return docs.join(dropped, "doc_id", "left_anti").select(*[f"`{name}`" for name in docs.columns])
