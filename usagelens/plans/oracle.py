@@ -333,6 +333,11 @@ def _catalog() -> dict[str, str]:
     genre_columns = f"genre, total_players, round(total_hours, 6) AS total_hours, items, total_purchasers, {_r('avg_hours_per_player', 'purchase_ratio')}"
     joined = "item, round(avg_hours, 6) AS avg_hours, item_clean, title, title_clean, genre, developer, metascore, round(userscore, 6) AS userscore, release_year"
 
+    def raw_rows(join: str) -> str:
+        return _with(["a", "cat"], f"""SELECT count(*) AS entries, count(genre) AS matched, CAST(sum(CAST(concat('0x', substr(md5(concat_ws('|',
+            user_id, item, behavior, CAST(round(hours * 100) AS BIGINT), coalesce(genre, '-'), coalesce(developer, '-'))), 1, 8)) AS BIGINT))
+            AS BIGINT) AS checksum FROM a {join} cat ON item = title""")
+
     def raw_profile(join: str) -> str:
         types = {"item": "string", "user_id": "bigint", "behavior": "string", "hours": "double",
                  "genre": "string", "developer": "string"}
@@ -373,6 +378,8 @@ def _catalog() -> dict[str, str]:
         "join_catalog_left": _with(["usagegenre"], f"SELECT key, item, players, {_r('total_hours', 'avg_hours_per_player')}, purchasers, genre FROM usagegenre"),
         "join_catalog_raw": raw_profile("JOIN"),
         "join_catalog_raw_left": raw_profile("LEFT JOIN"),
+        "join_catalog_raw_rows": raw_rows("JOIN"),
+        "join_catalog_raw_left_rows": raw_rows("LEFT JOIN"),
         "join_catalog_raw_groups": _with(["a", "cat"], """SELECT item, behavior, genre, developer, count(*) AS entries, sum(hours) AS hours
             FROM a JOIN cat ON item = title GROUP BY item, behavior, genre, developer"""),
         "unmatched_items": _with(["means", "missp"], """SELECT item, round(avg_hours, 6) AS avg_hours, item_clean FROM means

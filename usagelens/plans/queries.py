@@ -168,6 +168,15 @@ def raw_join_profile(log: DataFrame, catalog: DataFrame, how: str = "inner") ->
     return cat.join_catalog_raw_profile(log, catalog, how)
 
 
+def raw_join_rows(log: DataFrame, catalog: DataFrame, how: str = "inner") -> DataFrame:
+    """All rows of the row-level join: their number, how many found a title, and a sum over all columns that no order changes."""
+    joined = cat.join_catalog_raw(log, catalog, how)
+    row = F.concat_ws("|", "user_id", "item", "behavior", F.round(F.col("hours") * 100).cast("bigint"),
+                      F.coalesce("genre", F.lit("-")), F.coalesce("developer", F.lit("-")))
+    return joined.agg(F.count("*").alias("entries"), F.count("genre").alias("matched"),
+                      F.sum(F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("bigint")).alias("checksum"))
+
+
 def item_top_per_cluster(log: DataFrame) -> DataFrame:
     table = materialize(usage.item_feature_table(log))
     return cluster.top_items_per_cluster(table, cluster.item_clusters(features.robust_scaled_features(table)))
@@ -314,6 +323,8 @@ def _catalog_queries() -> dict[str, Query]:
         "join_catalog_left": on_join(cat.join_catalog_left),
         "join_catalog_raw": on_join(raw_join_profile),
         "join_catalog_raw_left": on_join(raw_join_profile, how="left"),
+        "join_catalog_raw_rows": on_join(raw_join_rows),
+        "join_catalog_raw_left_rows": on_join(raw_join_rows, how="left"),
         "join_catalog_raw_groups": on_join(cat.join_catalog_raw_groups),
         "unmatched_items": on_misspelled(cat.unmatched_items),
         "join_catalog_fuzzy": on_misspelled(cat.join_catalog_fuzzy),
