@@ -156,11 +156,10 @@ def near_words(found: DataFrame) -> DataFrame:
     frontier = strands.select("word", F.expr(f"substring(strand, least(start, {HEAD}) + 1)").alias("rest"),
                               F.concat("mark", F.expr(f"substring(strand, 1, least(start, {HEAD}))")).alias("node"),
                               F.lit(0).alias("edits"), (F.col("start") - top).alias("wait"))
-    near = []
+    # A last code point too many is deleted on the spot, where a word ends; all other edits take an edge.
+    near = [frontier.where("wait <= 0 AND length(rest) = 1").join(ends, "node", "left_semi").select("word", "node")]
     while True:
         open_states = frontier.where("edits = 0 AND wait <= 0")
-        # A last code point too many is deleted on the spot; all other edits take an edge.
-        near.append(open_states.where("length(rest) = 1").join(ends, "node", "left_semi").select("word", "node"))
         own = F.expr("startswith(rest, label)")
         followed = (frontier.where("edits = 1 OR wait > 0").withColumn("first", F.expr("substring(rest, 1, 1)"))
                     .join(edges, ["node", "first"]).where(own)
@@ -178,7 +177,8 @@ def near_words(found: DataFrame) -> DataFrame:
                      # What can neither end here nor go on is dropped at once.
                      .where("edits = 0 OR (rest = '' AND ends) OR (rest <> '' AND instr(nexts, substring(rest, 1, 1)) > 0)")
                      .drop("nexts"), "level")
-        near.append(level.where("edits = 1 AND rest = ''").select("word", "node"))
+        near.append(level.where("(edits = 1 AND rest = '') OR (edits = 0 AND wait <= 0 AND length(rest) = 1 AND ends)")
+                    .select("word", "node"))
         frontier = level.where("edits = 0 OR rest <> ''").drop("ends")
         if frontier.isEmpty():
             break
