@@ -3,9 +3,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SAMPLE, by_key
-from usagelens.operators import cluster, features, neighbors, usage, wide_pca
+from usagelens.operators import cluster, features, neighbors, silhouette, usage, wide_pca
 from usagelens.sources.adapters import event_interactions
 
 
@@ -49,6 +50,63 @@ def test_sweep_finds_two_groups(blobs):
     assert clusters["i00"].cluster != clusters["i10"].cluster
 
 
+def _dense_silhouettes(places, groups):
+    """Of all points, from the whole distance matrix."""
+    distances = np.sqrt(((places[:, None] - places[None]) ** 2).sum(-1))
+    values = []
+    for i, own in enumerate(groups):
+        if (groups == own).sum() == 1:
+            values.append(0.0)
+            continue
+        a = distances[i][groups == own].sum() / ((groups == own).sum() - 1)
+        b = min(distances[i][groups == other].mean() for other in set(groups) - {own})
+        values.append((b - a) / max(a, b) if max(a, b) else 0.0)
+    return np.array(values)
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_silhouettes_equal_the_dense_ones(spark, block):
+    rng = np.random.default_rng(2)
+    places = rng.normal(size=(60, 3)).round(1)
+    places[20:45] = places[20]  # a hot value, in two clusters
+    groups = rng.integers(0, 3, 60)
+    groups[0] = 9  # the only point of its cluster
+    points = spark.createDataFrame([(int(g), [float(x) for x in p]) for g, p in zip(groups, places)], "cluster int, place array<double>")
+    values = _dense_silhouettes(places, groups)
+    score = silhouette.silhouette_score(points, block=block).first()
+    assert (score.points, score.silhouette) == (60, pytest.approx(values.mean()))
+    parts = by_key(silhouette.silhouette_by_cluster(points, block=block), "cluster")
+    assert {c: (r.members, pytest.approx(r.silhouette)) for c, r in parts.items()} == {
+        c: (int((groups == c).sum()), values[groups == c].mean()) for c in set(groups.tolist())}
+
+
+def test_silhouettes_of_no_points_and_of_one_cluster(spark):
+    points = spark.createDataFrame([(0, [1.0]), (0, [2.0]), (None, [3.0]), (1, None)], "cluster int, place array<double>")
+    assert tuple(silhouette.silhouette_score(points).first()) == (2, None)
+    assert tuple(silhouette.silhouette_score(points.limit(0)).first()) == (0, None)
+
+
+def test_equal_points_are_one_row_of_a_block(spark):
+    points = spark.range(500).select((F.col("id") % 2).alias("cluster"), F.array(F.lit(1.0), (F.col("id") % 4).cast("double")).alias("place"))
+    held = silhouette.weighted_points(points).collect()
+    assert sorted((r.cluster, r.weight) for r in held) == [(0, 125), (0, 125), (1, 125), (1, 125)]
+
+
+def test_euclidean_sweep(blobs):
+    sweep = {r.k: r.silhouette for r in cluster.kmeans_silhouette_euclidean(blobs, ks=range(2, 4)).collect()}
+    data = blobs.toPandas().set_index("item")
+    expected = _dense_silhouettes(data.to_numpy(), np.array([int(i[1]) for i in data.index]))
+    assert sweep[2] == pytest.approx(expected.mean()) and sweep[3] < sweep[2]
+
+
+def test_off_centre_counts_points_of_the_wrong_cluster(spark):
+    places = spark.createDataFrame([("a", 0.0), ("b", 1.0), ("c", 10.0), ("d", 11.0), ("e", 0.5)], "item string, x double")
+    right = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1), ("d", 1), ("e", 0)], "item string, cluster int")
+    assert tuple(cluster.off_centre(places, right, "item", ["x"]).first()) == (5, 2, 0)
+    wrong = right.withColumn("cluster", F.when(F.col("item") == "e", 1).otherwise(F.col("cluster")))
+    assert tuple(cluster.off_centre(places, wrong, "item", ["x"]).first()) == (5, 2, 1)
+
+
 def test_best_items_per_cluster(spark):
     table = spark.createDataFrame([("a", 5), ("b", 5), ("c", 9), ("d", 1)], "item string, num_players long")
     groups = spark.createDataFrame([("a", 0), ("b", 0), ("c", 0), ("d", 1)], "item string, cluster int")

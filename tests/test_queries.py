@@ -11,7 +11,7 @@ from usagelens.plans import oracle, queries
 from tests.conftest import SAMPLE
 
 QUERIES, ORACLE = queries.queries(), oracle.oracle_sql()
-ROWS_ONLY = {"kmeans_elbow", "kmeans_silhouette", "item_clusters", "item_clusters_zscore", "top_items_per_cluster",
+ROWS_ONLY = {"kmeans_elbow", "kmeans_silhouette", "kmeans_silhouette_euclidean", "item_clusters", "item_clusters_zscore", "top_items_per_cluster",
              "user_clusters"}
 
 
@@ -43,7 +43,7 @@ def _check_plan(df, python_allowed=False):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, duck, name):
     result = QUERIES[name](spark, SAMPLE)
-    _check_plan(result, python_allowed=name in ("join_catalog_fuzzy", "user_pca"))
+    _check_plan(result, python_allowed=name in ("join_catalog_fuzzy", "user_pca", "silhouette_score", "silhouette_by_cluster"))
     expected = duck.sql(ORACLE[name])
     assert sorted(result.columns) == sorted(expected.columns)
     assert _sorted_rows([tuple(r) for r in result.collect()], result.columns) == _sorted_rows(

@@ -10,10 +10,11 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelens.operators.features import ITEM_FEATURES, assembled, centered
+from usagelens.operators.silhouette import silhouette_score
 from usagelens.session import materialize
 
 SEED = 42
@@ -58,6 +59,12 @@ def _silhouette(model: KMeansModel, vectors: DataFrame) -> float:
     return ClusteringEvaluator(predictionCol="cluster").evaluate(model.transform(vectors))
 
 
+def _euclidean(model: KMeansModel, vectors: DataFrame) -> float:
+    """Mean silhouette by Euclidean distance, from all pairs of distinct points, in tiles."""
+    points = model.transform(vectors).select("cluster", vector_to_array("features").alias("place"))
+    return silhouette_score(points).first()["silhouette"]
+
+
 def kmeans_sweep(scaled: DataFrame, columns: Sequence[str] = ITEM_FEATURES, ks: Iterable[int] = range(2, 11),
                  seed: int = SEED, parallelism: int = 4) -> DataFrame:
     """Inertia and silhouette per k."""
@@ -74,6 +81,34 @@ def kmeans_silhouette(scaled: DataFrame, columns: Sequence[str] = ITEM_FEATURES,
     return _per_k(scaled, columns, ks, seed, parallelism, {"silhouette_sq": _silhouette})
 
 
+def kmeans_silhouette_euclidean(scaled: DataFrame, columns: Sequence[str] = ITEM_FEATURES, ks: Iterable[int] = range(2, 11),
+                                seed: int = SEED, parallelism: int = 4) -> DataFrame:
+    """Silhouette per k by plain distance; `kmeans_silhouette` takes the squared one, which needs no pairs."""
+    return _per_k(scaled, columns, ks, seed, parallelism, {"silhouette": _euclidean})
+
+
+def off_centre(vectors: DataFrame, clusters: DataFrame, key: str, columns: Sequence[str], slack: float = 1e-9) -> DataFrame:
+    """One row: the points, their clusters, and how many points lie nearer to the centre of another cluster than to their own.
+
+    Centres are the means of the given clusters, so the check needs no model; 0 is what settled K-means leaves. Each point meets
+    an array of all centres, one per cluster, and no other point.
+    """
+    held = materialize(vectors.select(key, F.array(*columns).alias("place")).join(clusters.select(key, "cluster"), key))
+    means = [F.avg(F.element_at("place", i + 1)) for i in range(len(columns))]
+    centres = held.groupBy("cluster").agg(F.array(*means).alias("centre")).agg(
+        F.collect_list(F.struct("cluster", "centre"))).scalar()
+
+    def distance(centre) -> Column:
+        return F.sqrt(F.aggregate(F.zip_with(F.col("place"), centre, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d))
+
+    held = held.withColumn("centres", centres)
+    reach = F.transform("centres", lambda c: F.struct(distance(c["centre"]).alias("d"), c["cluster"].alias("cluster")))
+    own = F.element_at(F.filter(F.col("reach"), lambda r: r["cluster"] == F.col("cluster")), 1)["d"]
+    near = held.withColumn("reach", reach).withColumn("off", own > F.array_min("reach")["d"] + slack)
+    return near.agg(F.count("*").alias("points"), F.count_distinct("cluster").alias("clusters"),
+                    F.count_if("off").alias("off_centre"))
+
+
 def item_clusters(scaled: DataFrame, columns: Sequence[str] = ITEM_FEATURES, k: int = 4,
                   seed: int = SEED) -> DataFrame:
     """Item and its cluster."""

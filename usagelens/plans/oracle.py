@@ -497,6 +497,28 @@ def _models() -> dict[str, str]:
     }
 
 
+def _silhouettes() -> dict[str, str]:
+    names = ("num_players", "avg_hours", "total_hours")
+    scaled = ", ".join(f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0) AS {c}" for c in names)
+    squares = " + ".join(f"(p.{c} - q.{c}) * (p.{c} - q.{c})" for c in names)
+    points = f""", points AS MATERIALIZED (SELECT *, CASE WHEN num_players < -0.5 THEN 0 WHEN num_players < 0.5 THEN 1 ELSE 2 END AS cluster
+            FROM (SELECT item, {scaled} FROM feat)),
+        ends AS (SELECT p.item, p.cluster AS own, q.cluster AS other, avg(sqrt({squares})) AS mean
+            FROM points p JOIN points q ON p.item <> q.item GROUP BY p.item, p.cluster, q.cluster),
+        judged AS (SELECT item, max(mean) FILTER (WHERE own = other) AS a, min(mean) FILTER (WHERE own <> other) AS b
+            FROM ends GROUP BY item),
+        valued AS (SELECT cluster, CASE WHEN b IS NULL THEN NULL WHEN a IS NULL OR greatest(a, b) = 0 THEN 0
+            ELSE (b - a) / greatest(a, b) END AS s FROM points LEFT JOIN judged USING (item))"""
+    settled = "SELECT count(*) AS points, least({k}, count(*)) AS clusters, CAST(0 AS BIGINT) AS off_centre FROM feat"
+    return {
+        "silhouette_score": _with(["feat"], points + " SELECT count(*) AS points, round(avg(s), 6) AS silhouette FROM valued"),
+        "silhouette_by_cluster": _with(["feat"], points + """
+            SELECT cluster, count(*) AS members, round(avg(s), 6) AS silhouette FROM valued GROUP BY cluster"""),
+        "item_clusters_settled": _with(["feat"], settled.format(k=4)),
+        "item_clusters_zscore_settled": _with(["feat"], settled.format(k=10)),
+    }
+
+
 def _leading(number: int, gram: str) -> str:
     """Tables `top<number>` (c, w) and `size<number>` (value): the leading eigenvector of a matrix (i, j, v), from its powers.
 
@@ -572,7 +594,7 @@ def _settled(sql: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    groups = (_usage(), _segments(), _retention(), _distribution(), _catalog(), _sources(), _profile(), _models(), _projections())
+    groups = (_usage(), _segments(), _retention(), _distribution(), _catalog(), _sources(), _profile(), _models(), _silhouettes(), _projections())
     queries = {name: sql for group in groups for name, sql in group.items()}
     for name in ("similar_users", "recommend_items"):
         queries[f"{name}_given"] = queries[name].replace("SELECT min(user_id) FROM b", "SELECT max(user_id) FROM b")

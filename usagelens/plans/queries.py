@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from usagelens.functions.text import clean_title, rating, year_in
 from usagelens.operators import catalog as cat
 from usagelens.operators import (cluster, distribution, features, neighbors, ownership, profile, retention,
-                                 segments, usage)
+                                 segments, silhouette, usage)
 from usagelens.schema import PLAY, PURCHASE
 from usagelens.session import materialize, scratch_path
 from usagelens.sources import files, shaping
@@ -182,6 +182,19 @@ def item_top_per_cluster(log: DataFrame) -> DataFrame:
     return cluster.top_items_per_cluster(table, cluster.item_clusters(features.robust_scaled_features(table)))
 
 
+def tiered_points(log: DataFrame) -> DataFrame:
+    """Items by their scaled features, grouped by how often they were played: below, at and above the mean."""
+    scaled = materialize(features.zscore_features(usage.item_feature_table(log)))
+    tier = F.when(F.col("num_players") < -0.5, 0).when(F.col("num_players") < 0.5, 1).otherwise(2)
+    return scaled.select("item", tier.alias("cluster"), F.array(*features.ITEM_FEATURES).alias("place"))
+
+
+def settled_items(scaled: DataFrame, columns=features.ITEM_FEATURES, k: int = 4) -> DataFrame:
+    """How many items lie off the centre of the cluster that K-means gave them."""
+    scaled = materialize(scaled)
+    return cluster.off_centre(scaled, cluster.item_clusters(scaled, columns, k), "item", columns)
+
+
 def _source_queries() -> dict[str, Query]:
     return {
         "scan_interactions": csv_round_trip,
@@ -355,6 +368,11 @@ def _model_queries() -> dict[str, Query]:
             lambda log: features.robust_scaled_features(usage.item_feature_table(log), TWO_FEATURES)),
         "kmeans_elbow": on_scaled(cluster.kmeans_elbow),
         "kmeans_silhouette": on_scaled(cluster.kmeans_silhouette, columns=TWO_FEATURES),
+        "kmeans_silhouette_euclidean": on_scaled(cluster.kmeans_silhouette_euclidean, columns=TWO_FEATURES),
+        "silhouette_score": on_orders(lambda log: silhouette.silhouette_score(tiered_points(log))),
+        "silhouette_by_cluster": on_orders(lambda log: silhouette.silhouette_by_cluster(tiered_points(log))),
+        "item_clusters_settled": on_scaled(settled_items),
+        "item_clusters_zscore_settled": on_scaled(settled_items, robust=False, k=10),
         "item_clusters": on_scaled(cluster.item_clusters),
         "item_clusters_zscore": on_scaled(cluster.item_clusters, robust=False, k=10),
         "top_items_per_cluster": on_orders(item_top_per_cluster),
