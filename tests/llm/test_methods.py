@@ -1,6 +1,7 @@
 """The methods themselves, held against exact definitions."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -86,6 +87,65 @@ def test_terms_that_disclose_an_entity(documents):
     assert clean[15] == texts[15]
 
 
+@pytest.mark.parametrize("apart", [0, 12, 500])
+def test_a_disclosing_term_may_stand_anywhere_in_the_document(documents, apart):
+    rng = random.Random(4)
+    prose = lambda n: " ".join(rng.choice(["red", "blue", "green", "walks", "sings", "often", "tree"]) for _ in range(n))
+    told = [(i, f"{prose(9)} Zorblatt {prose(apart)} z@example.org {prose(5)} k9x7") for i in range(8)]
+    alone = [(10 + i, prose(60)) for i in range(60)]
+    texts = dict([*told, *alone])
+    for row in pii.find_all(documents(*told, *alone)).collect():
+        marked = {texts[row["doc_id"]][s["start"]:s["end"]] for s in row["spans"] if s["kind"] >= pii.TERM}
+        assert marked == ({"Zorblatt", "k9x7"} if row["doc_id"] < 10 else set())
+
+
+def test_chance_company_of_a_frequent_entity_discloses_nothing(documents):
+    rng = random.Random(6)
+    rare = [f"w{i}" for i in range(300)]
+    docs = [(i, " ".join(rng.choice(rare) for _ in range(4)) + (" office@example.org" if i % 3 == 0 else "")) for i in range(400)]
+    assert all(len(row["spans"]) == len(row["base"]) for row in pii.find_all(documents(*docs)).collect())
+
+
+def test_disclosing_terms_equal_plain_counting(documents):
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(40)]
+    docs, number = [], 0
+    for e in range(12):  # entities with terms that are more or less their own, some told in copies of a text
+        for _ in range(rng.randint(2, 7)):
+            words = [rng.choice(common) for _ in range(20)] + [f"own{e}", f"half{e // 2}"] + rng.sample([f"r{i}" for i in range(30)], 3)
+            rng.shuffle(words)
+            text = " ".join([*words, f"user{e}@example.org", *(["25.86.162." + str(e)] if e % 3 == 0 else [])])
+            for _ in range(rng.choice([1, 1, 3])):
+                docs.append((number, text))
+                number += 1
+    docs += [(number + i, " ".join(rng.choice([*common, "own1", "own4", "half2"]) for _ in range(15))) for i in range(200)]
+    texts = [t for _, t in docs]
+    terms = {t: pii.plain_terms(t) for t in set(texts)}
+    entities = {t: pii.entities_in(t, pii.base_spans(t)) for t in set(texts)}
+    pairs = []
+    for e in set().union(*entities.values()):
+        docs_e = sum(e in entities[t] for t in texts)
+        for w in set().union(*terms.values()):
+            different = sum(e in entities[t] and w in terms[t] for t in terms)
+            together, docs_w = (sum(w in terms[t] and (e in entities[t] or not both) for t in texts) for both in (True, False))
+            with_finds = sum(w in terms[t] and bool(entities[t]) for t in texts)
+            if different >= 3 and with_finds <= 2 * together:
+                pairs.append((w, different, together, docs_w, docs_e / len(texts)))
+    expected = {}
+    for w, different, together, docs_w, p in pairs:
+        q = together / docs_w
+        if q < 0.5 or q <= p:
+            continue
+        divergence = q * math.log(q / p) + (0 if q == 1 else (1 - q) * math.log((1 - q) / (1 - p)))
+        ratio = math.log(q / p) / -math.log(p)
+        if different / q * divergence >= math.log(len(pairs) / 0.001) and ratio >= 0.85:
+            expected[w] = max(expected.get(w, 0), ratio)
+    found = documents(*docs)
+    finds = found.select("text", F.xxhash64("text").alias("text_hash"), pii.find_direct(F.col("text")).alias("f")).select("text_hash", "f.*")
+    got = {r["term"]: r["kind"] for r in pii.disclosing_terms(found, finds).collect()}
+    assert len(expected) > 4 and got == {w: pii.REMOVED if r >= 0.95 else pii.TERM for w, r in expected.items()}
+
+
 def test_direct_finds_in_odd_places():
     text = "a@b.c@d.e.f x@y 1.2.3.4.5.6.7.8.9 999.1.1.1 x4111 1111-1111 1111 +1 (212) 555-0100) @@q@r.s é@x.yz"
     spans = [(s, pii.KINDS[k], text[s:e]) for s, k, e in pii.base_spans(text)]

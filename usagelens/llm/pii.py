@@ -1,15 +1,18 @@
 """Personal data: direct finds, and terms that disclose them by corpus co-occurrence.
 
-Direct finds (`base_spans`) are e-mail and IP addresses, card and phone numbers. Around them stand terms
-that may give the same entity away after it has been blanked out. How strongly term t reveals entity e is
-measured over the whole corpus: PMI(t; e) = log(P(e | t) / P(e)), against the information of the entity
-itself, IC(e) = -log P(e). PMI / IC is 1 when t occurs with e alone and 0 when they are independent. A
-term with a ratio of `generalise_at` or more, for some entity, is generalised wherever it occurs, from
-`remove_at` on removed. Terms must accompany the entity in `min_texts` different texts and in half of
-their own documents, so chance company of rare words does not count.
-
-The corpus is read three times: finds with their company, document counts of the candidate terms, places of
-the disclosing terms. The last two look terms up in a Bloom filter of fixed size and are put right by a join.
+Direct finds (`base_spans`) are e-mail and IP addresses, card and phone numbers. Other terms of a document may give the same
+entity away after it has been blanked out. How strongly term t reveals entity e is measured over whole documents of the
+whole corpus: PMI(t; e) = log(P(e | t) / P(e)), against the information of the entity itself, IC(e) = -log P(e). PMI / IC is 1
+when t occurs with e alone and 0 when they are independent. A term with a ratio of `generalise_at` or more, for some entity, is
+generalised wherever it occurs, from `remove_at` on removed. Terms must accompany the entity in `min_texts` different
+texts and in half of their own documents, and chance must be unlikely to bring so much company about: n texts of which a share q
+hold an entity of probability p come by chance with at most exp(-n KL(q, p)), which has to be below `chance` over the number of
+pairs judged. Without that, words of three texts would "disclose" an address that stands in a third of the corpus.
+
+The corpus is read three times: finds and the terms beside them, document counts of the candidate terms, places of
+the disclosing terms. The last two look terms up in a Bloom filter of fixed size and are put right by a join. Pairs of entity and
+term are formed only for entities and terms of `min_texts` texts with finds, and where the term is not already met too often in
+those texts: a term that stands with e in half of its documents has at most twice the documents of e.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from usagelens.functions.joins import spread_join
 from usagelens.llm.common import chunks, save
 
 KINDS = ("email", "ip", "card", "phone")
@@ -36,8 +40,7 @@ _MARKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
 MIN_TEXTS = 3
 GENERALISE_AT = 0.85
 REMOVE_AT = 0.95
-NEIGHBOURS = 8
-_REACH = 200            # characters in which the neighbouring terms are looked for
+CHANCE = 0.001
 _FILTER_BITS = 20
 
 # The patterns of the four kinds; an address is put together in `_emails` and `_addresses`.
@@ -47,7 +50,7 @@ _DIGIT_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]+")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+_TERM = re.compile(r"[^\W_]{2,}")
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -116,22 +119,15 @@ def _without(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[done:]])
 
 
-def company(text: str, spans: list[Span]) -> list[tuple[int, str, list[str]]]:
-    """(kind, value, neighbouring terms) of each find."""
-    if not spans:
-        return []
-    plain, found = _without(text, spans), []
-    for start, kind, end in spans:
-        low, high = max(start - _REACH, 0), end + _REACH
-        before = terms_in(" " + plain[low:start])
-        after = terms_in(plain[end:high])
-        if low > 0 and plain[low - 1].isalpha():
-            before = before[1:]
-        if high < len(plain) and plain[high].isalpha():
-            after = after[:-1]
-        value = text[start:end].lower() if kind < 2 else _NO_DIGIT.sub("", text[start:end])
-        found.append((kind, value, [*before[-NEIGHBOURS:], *after[:NEIGHBOURS]]))
-    return found
+def entities_in(text: str, spans: list[Span]) -> set[tuple[int, str]]:
+    """(kind, value) of all finds, written alike."""
+    return {(kind, text[start:end].lower() if kind < 2 else _NO_DIGIT.sub("", text[start:end])) for start, kind, end in spans}
+
+
+def plain_terms(text: str) -> set[str]:
+    """The terms outside direct finds."""
+    spans = base_spans(text)
+    return set(terms_in(_without(text, spans) if spans else text))
 
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -142,14 +138,15 @@ def _span_array(rows: list[list[Span]]) -> list[list[dict]]:
 
 
 def find_direct(text: Column) -> Column:
-    """Struct(spans, company) of a text; NULL counts as empty."""
-    @F.pandas_udf(f"spans {_SPANS}, company array<struct<kind:int,value:string,terms:array<string>>>")
+    """Struct(spans, entities, terms) of a text; NULL counts as empty. Terms, each once, only of texts with finds."""
+    @F.pandas_udf(f"spans {_SPANS}, entities array<struct<kind:int,value:string>>, terms array<string>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             spans = [base_spans(value) for value in batch]
-            near = [company(value, held) for value, held in zip(batch, spans)]
-            yield pd.DataFrame({"spans": _span_array(spans), "company": [
-                [{"kind": k, "value": v, "terms": t} for k, v, t in held] for held in near]})
+            yield pd.DataFrame({
+                "spans": _span_array(spans),
+                "entities": [[{"kind": k, "value": v} for k, v in sorted(entities_in(value, held))] for value, held in zip(batch, spans)],
+                "terms": [sorted(set(terms_in(_without(value, held)))) if held else [] for value, held in zip(batch, spans)]})
     return of(F.coalesce(text, F.lit("")))
 
 
@@ -186,15 +183,17 @@ def _by_chunk(look: TermFilter, texts: list[str]) -> Iterator[tuple[int, list[se
 
 
 def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, documents) for the given terms, over all texts; some other terms may come along."""
+    """(term, documents) for the given terms outside direct finds, over all texts; some other terms may come along."""
     look = TermFilter(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total: Counter[str] = Counter()
-            for _, sets, wanted in _by_chunk(look, batch.column(0).to_pylist()):
-                for held in sets:
-                    total.update(held & wanted)
+            texts = batch.column(0).to_pylist()
+            for first, sets, wanted in _by_chunk(look, texts):
+                for i, held in enumerate(sets, first):
+                    if held & wanted:
+                        total.update(plain_terms(texts[i]) & wanted)
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())],
                                              ["term", "n"])
 
@@ -227,32 +226,55 @@ def term_places(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return located.join(terms, "term").select("doc_id", "text_hash", "start", "end", "kind")
 
 
-def disclosing_terms(docs: DataFrame, finds: DataFrame, min_texts: int = MIN_TEXTS,
-                     generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
-    """`finds(text_hash, company)` over `docs` to (term, kind): what discloses an entity, and how it is treated."""
-    # An entity stands for itself under the empty term, which no text holds.
-    met = finds.select("text_hash", F.explode("company").alias("c")).select(
-        "text_hash", F.col("c.kind").alias("entity_kind"), F.col("c.value").alias("value"),
-        F.explode(F.array_union(F.array(F.lit("")), "c.terms")).alias("term"))
-    per_row = met.groupBy("text_hash", "entity_kind", "value", "term")
-    # `copies` documents hold a text; the entity may occur in it several times, which counts once.
-    copies = finds.groupBy("text_hash").agg(F.count("*").alias("copies"))
-    pairs = save(per_row.agg(F.count("*").alias("times")).join(copies, "text_hash")
-                 .groupBy("entity_kind", "value", "term")
-                 .agg(F.count("*").alias("texts"), F.sum("copies").alias("together")), "pairs")
-    entities = pairs.where(F.col("term") == "").select("entity_kind", "value", F.col("together").alias("entity_documents"))
-    candidates = save(pairs.where((F.col("term") != "") & (F.col("texts") >= min_texts)).join(entities, ["entity_kind", "value"]),
-                      "candidates")
-    if candidates.isEmpty():
+def company(finds: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
+    """(entity_kind, value, entity_documents, term, texts, together) of entities and terms that may belong together.
+
+    `texts` are different ones, `together` and `entity_documents` count their copies too. Pairs that can't reach `min_texts` or
+    half of the term's documents are left out, most of them before they are formed.
+    """
+    texts = save(finds.where(F.size("entities") > 0).groupBy("text_hash").agg(
+        F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms")), "texts")
+    said = texts.select("text_hash", "copies", F.explode("entities").alias("e")).select(
+        "text_hash", "copies", F.col("e.kind").alias("entity_kind"), F.col("e.value").alias("value"))
+
+    def repeated(rows: DataFrame, *key: str) -> DataFrame:
+        return rows.groupBy(*key).agg(F.count("*").alias("texts"), F.sum("copies").alias("documents")).where(F.col("texts") >= min_texts)
+
+    entities = repeated(said, "entity_kind", "value").select("entity_kind", "value", F.col("documents").alias("entity_documents"))
+    held = save(spread_join(said, entities, ["entity_kind", "value"], ["text_hash"]), "entities")
+    words = texts.select("text_hash", "copies", F.explode("terms").alias("term"))
+    often = save(repeated(words, "term").select("term", F.col("documents").alias("least_documents")), "words")
+    rarest = held.groupBy("text_hash").agg(F.max("entity_documents").alias("most"))
+    near = spread_join(words.join(rarest, "text_hash"), often, ["term"], ["text_hash"]).where(
+        F.col("least_documents") <= 2 * F.col("most")).select("text_hash", "term", "least_documents")
+    met = held.join(near, "text_hash").where(F.col("least_documents") <= 2 * F.col("entity_documents"))
+    pairs = met.groupBy("entity_kind", "value", "entity_documents", "term", "least_documents").agg(
+        F.count("*").alias("texts"), F.sum("copies").alias("together"))
+    return pairs.where((F.col("texts") >= min_texts) & (F.col("least_documents") <= 2 * F.col("together"))).drop("least_documents")
+
+
+def disclosing_terms(docs: DataFrame, finds: DataFrame, min_texts: int = MIN_TEXTS, generalise_at: float = GENERALISE_AT,
+                     remove_at: float = REMOVE_AT, chance: float = CHANCE) -> DataFrame:
+    """`finds(text_hash, entities, terms)` over `docs` to (term, kind): what discloses an entity, and how it is treated."""
+    candidates = save(company(finds, min_texts), "candidates")
+    judged = candidates.count()
+    if not judged:
         return docs.sparkSession.createDataFrame([], "term string, kind int")
     counts = document_counts(docs, candidates.select("term").distinct())
-    total = docs.count()
+    total = F.lit(docs.count())
     given_term = F.col("together") / F.col("documents")
-    entity = F.col("entity_documents") / F.lit(total)
+    entity = F.col("entity_documents") / total
     ratio = F.try_divide(F.log(given_term / entity), -F.log(entity))
-    judged = (candidates.join(counts, "term").where(given_term >= 0.5).groupBy("term").agg(F.max(ratio).alias("ratio"))
-              .where(F.col("ratio") >= generalise_at))
-    return save(judged.select("term", F.when(F.col("ratio") >= remove_at, REMOVED).otherwise(TERM).alias("kind")), "terms")
+
+    def part(share: Column, base: Column) -> Column:
+        return F.when(share > 0, share * F.log(share / base)).otherwise(0.0)
+
+    # Texts, not their copies, are evidence.
+    evidence = F.col("texts") / given_term * (part(given_term, entity) + part(1 - given_term, 1 - entity))
+    known = (candidates.join(counts, "term").where((given_term >= 0.5) & (given_term > entity) & (entity < 1))
+             .where(evidence >= F.log(F.lit(judged / chance))))
+    best = known.groupBy("term").agg(F.max(ratio).alias("ratio")).where(F.col("ratio") >= generalise_at)
+    return save(best.select("term", F.when(F.col("ratio") >= remove_at, REMOVED).otherwise(TERM).alias("kind")), "terms")
 
 
 def find_all(docs: DataFrame, **options) -> DataFrame:
@@ -263,8 +285,8 @@ def find_all(docs: DataFrame, **options) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     finds = save(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), find_direct(F.col("text")).alias("f"))
-                 .select("doc_id", "text_hash", F.col("f.spans").alias("base"), F.col("f.company").alias("company")), "finds")
-    terms = disclosing_terms(docs, finds.where(F.size("company") > 0).select("text_hash", "company"), **options)
+                 .select("doc_id", "text_hash", F.col("f.spans").alias("base"), "f.entities", "f.terms"), "finds")
+    terms = disclosing_terms(docs, finds, **options)
     if terms.isEmpty():
         return finds.select("doc_id", "text_hash", "base", F.col("base").alias("spans"))
     more = (term_places(docs, terms).distinct().groupBy("doc_id", "text_hash")
@@ -297,7 +319,11 @@ def sanitised(text: str, spans: list) -> str:
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with personal data in `text` replaced by marks; `n_chars`, where there is one, follows the text."""
+    """`docs` with personal data in `text` replaced by marks; `n_chars`, where there is one, follows the text.
+
+    All rows and columns stay, also those without doc_id. NULL stays NULL, empty texts and texts without finds stay as they are;
+    equal texts are treated alike; an empty table gives none.
+    """
     found = (find_all(docs, **options).where(F.size("spans") > 0).select("doc_id", "text_hash", "spans").distinct().alias("s"))
     rows = docs.select(F.struct("*").alias("_doc"), F.xxhash64("text").alias("_hash")).alias("d")
     joined = rows.join(found, F.col("_doc.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("_hash") == F.col("s.text_hash")), "left")
