@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -140,3 +141,51 @@ def test_merkle_walk(spark, texts):
         assert (row["near_next"] == 1) == (texts[here] == texts[after]) or row["near_next"] < 1
     assert len({row["fingerprint"] for row in got.values()}) == len(set(texts.values()))
     assert np.mean([row["near_edited"] for row in got.values()]) > 0.5
+
+
+def _branches(fingerprint):
+    """{(section, paragraph): digests} of a returned string."""
+    return {(i, j): paragraph for i, section in enumerate(fingerprint.split(":")[1].split(";"))
+            for j, paragraph in enumerate(section.split(","))}
+
+
+def test_merkle_likeness_and_branches_follow_from_the_returned_strings(spark, texts):
+    got = result(spark, "op6_merkle_fingerprint")
+
+    def digests(fingerprint):
+        held = re.sub("[,;]", "", fingerprint.split(":")[1])
+        return Counter(held[i:i + 8] for i in range(0, len(held), 8))
+
+    def share(a, b):
+        one, other = digests(a), digests(b)
+        return 2 * (one & other).total() / (one.total() + other.total()) if one or other else 1.0
+
+    order = sorted(texts, reverse=True)
+    for here, after in zip(order, [*order[1:], order[0]]):
+        row = got[here]
+        assert row["near_edited"] == share(row["fingerprint"], row["edited_fingerprint"])
+        assert row["near_next"] == share(row["fingerprint"], got[after]["fingerprint"])
+        one, other = _branches(row["fingerprint"]), _branches(row["edited_fingerprint"])
+        changed = sorted(at for at in one.keys() | other.keys() if one.get(at) != other.get(at))
+        assert row["n_branches"] == len(changed)
+        assert row["first_branch"] == (f"{changed[0][0]}.{changed[0][1]}" if changed else None)
+
+
+def test_language_model_counts_and_base_score(spark, texts):
+    got = result(spark, "op7_lbl_score")
+
+    def tokens(text):
+        lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+        return [*ascii_words(lowered), None]  # None: the end
+
+    rows = [(row["doc_id"], row["text"] or "") for row in spark.read.parquet(f"{SAMPLE}/documents.parquet").select("doc_id", "text").collect()]
+    counts = Counter(t for i, text in rows if zlib.crc32(str(i).encode()) % 7 != 2 for t in tokens(text))
+    total, distinct = counts.total(), len(counts)
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        own = tokens(text)
+        row = got[i]
+        assert row["held_out"] == (zlib.crc32(str(i).encode()) % 7 == 2)
+        assert (row["n_tokens"], row["n_known"], row["train_tokens"]) == (len(own), sum(counts[t] > 0 for t in own), total)
+        assert row["base_score"] == pytest.approx(sum(np.log10((counts[t] + 1) / (total + distinct + 1)) for t in own), rel=1e-9)
+        assert row["score"] < 0

@@ -4,9 +4,10 @@ A text is cut into sections (at blank lines), sections into paragraphs (at line
 `SPAN` words; every byte belongs to one span. Span digests are hashed into paragraph digests, those into section
 digests, those into the root: equal roots mean equal texts, and going down where digests differ locates an edit.
 
-The fingerprint string is the root and, after a colon, the short digests of all spans, six hex digits each, with `,`
-between paragraphs and `;` between sections, so inner digests can be compared too. Likeness of two
-fingerprints is the share of spans they have in common: 2 * common / (all of one + all of the other).
+The fingerprint string is the root and, after a colon, the digests of all spans, eight hex digits each, with `,`
+between paragraphs and `;` between sections. Likeness of two fingerprints is the share of span digests they have in
+common: 2 * common / (all of one + all of the other). It is taken from what the strings hold (`string_likeness` gives it from
+two strings alone); the tree itself hashes whole digests.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql.types import IntegralType
 from usagelens.functions import ordered
 
 SPAN = 5
+KEPT = 4  # bytes of a span's digest that the string holds
 # A span: blanks before a word belong to it, blanks after the last word of a paragraph too.
 _SPANS = re.compile(rb"(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){1,%d}(?:[\x20\x09-\x0D]+\Z)?|[\x20\x09-\x0D]+\Z" % SPAN)
 _SECTION_END = re.compile(rb"\n[\x20\x09\r]*\n")
@@ -48,10 +50,18 @@ class Tree:
 
     def __str__(self) -> str:
         return self.root.hex() + ":" + ";".join(
-            ",".join(b"".join([span[:3] for span in p]).hex() for p in section) for section in self.sections)
+            ",".join(b"".join([span[:KEPT] for span in p]).hex() for p in section) for section in self.sections)
 
     def spans(self) -> Counter:
-        return Counter(span for section in self.sections for p in section for span in p)
+        """The span digests as the string holds them."""
+        return Counter(span[:KEPT] for section in self.sections for p in section for span in p)
+
+    def differing(self, other: Tree) -> list[tuple[int, int]]:
+        """(section, paragraph) of the branches in which two trees differ, found from the roots down."""
+        if self.root == other.root:
+            return []
+        return [(i, j) for i, (left, right) in enumerate(zip_longest(self.sections, other.sections, fillvalue=[])) if left != right
+                for j, (p, q) in enumerate(zip_longest(left, right)) if p != q]
 
 
 def _above(children: list[bytes]) -> bytes:
@@ -67,13 +77,17 @@ def likeness(a: Counter, b: Counter) -> float:
     return 2 * sum(min(n, large[span]) for span, n in small.items() if span in large) / total
 
 
+def string_likeness(a: str, b: str) -> float:
+    """Likeness of two fingerprint strings."""
+    def spans(fingerprint: str) -> Counter:
+        digests = bytes.fromhex(fingerprint.partition(":")[2].replace(",", "").replace(";", ""))
+        return Counter(digests[i:i + KEPT] for i in range(0, len(digests), KEPT))
+    return likeness(spans(a), spans(b))
+
+
 def edits(a: bytes, b: bytes) -> list[tuple[int, int]]:
-    """(section, paragraph) of the branches in which two texts differ, found from the roots down."""
-    one, other = Tree(a), Tree(b)
-    if one.root == other.root:
-        return []
-    return [(i, j) for i, (left, right) in enumerate(zip_longest(one.sections, other.sections, fillvalue=[])) if left != right
-            for j, (p, q) in enumerate(zip_longest(left, right)) if p != q]
+    """(section, paragraph) of the branches in which two texts differ."""
+    return Tree(a).differing(Tree(b))
 
 
 def edited(text: str, following: str) -> str:
@@ -128,20 +142,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per row of `docs(doc_id, text)`: its fingerprint, that of its edited text, and how alike they are.
 
     The edited text takes its end from the next document in descending doc_id (`edited`, `with_next`); after the last
-    comes the first. NULL and empty texts are the empty text: no spans, one fingerprint, likeness 1 to each other and 0
+    comes the first. `n_branches` paragraphs of the tree differ between the two, the first one is `first_branch`
+(section.paragraph, from 0; NULL if none differs). NULL and empty texts are the empty text: no spans, one fingerprint, likeness 1 to each other and 0
     to all else. Repeated ids and rows follow each other in the order of their texts' hashes; rows without doc_id come
     after all others; extra columns are ignored; an empty table gives none, and a single row follows itself.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-              "near_edited double, near_next double")
+              "near_edited double, near_next double, n_branches long, first_branch string")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_part, waiting, made, held = None, None, [], 0
 
         def flush() -> pa.RecordBatch:
             names = [piece.split()[0] for piece in schema.split(", ")]
-            kinds = (id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+            kinds = (id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(),
+                     pa.int64(), pa.string())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), kinds)], names)
 
         for batch in batches:
@@ -170,5 +186,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def _described(doc_id, text: str, tree: Tree, spans: Counter, next_text: str, next_spans: Counter) -> tuple:
     changed = edited(text, next_text).encode()
     changed_tree = Tree(changed)
+    branches = tree.differing(changed_tree)
     return (doc_id, len(text), hashlib.sha256(changed).hexdigest(), str(tree), str(changed_tree),
-            likeness(spans, changed_tree.spans()), likeness(spans, next_spans))
+            likeness(spans, changed_tree.spans()), likeness(spans, next_spans), len(branches),
+            "%d.%d" % branches[0] if branches else None)
