@@ -1,12 +1,16 @@
 """Document quality by a linear-chain conditional random field over lines.
 
 Each line is good or bad; its label depends on features of the line itself, of the lines before and after it, and on
-the neighbouring labels. Document labels stand for the labels of all lines in training. A document's raw score is
-the mean probability of its lines being good (forward-backward marginals), weighted by line length; a logistic curve fitted
-on the training documents turns it into the probability of label 1.
+the neighbouring labels. A document's raw score is the mean probability of its lines being good (forward-backward
+marginals), weighted by line length; a logistic curve fitted on the training documents turns it into the probability of label 1.
 
-The model is fitted on the driver on at most `SAMPLE` labelled documents, half of each label as far as there are; scoring
-goes over all texts.
+Labels are known of documents only, those of lines are latent. They are learnt by EM with a constraint per document: at
+least `GOOD_SHARE` of the length of a document of label 1 is good, at most `BAD_SHARE` of one of label 0. The
+expectation step takes the line labels nearest to the model's that meet it, which adds one multiple of the line's length to
+the score of the good label. So a plain line in a bad document stays good.
+
+The model is fitted on the driver on at most `SAMPLE` labelled documents of at most `LINES` lines, half of each label as
+far as there are; scoring goes over all texts.
 """
 
 from __future__ import annotations
@@ -24,6 +28,9 @@ from pyspark.sql import functions as F
 from usagelens.llm.common import chunks, save
 
 SAMPLE = 4000
+LINES = 500
+GOOD_SHARE, BAD_SHARE = 0.95, 0.5
+ROUNDS, STEPS = 6, 30
 GOOD_FROM = 0.7
 _UPPER, _DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 _LETTERS = _UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -123,27 +130,72 @@ def marginals(unary: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tupl
     return np.exp(ahead + back - per_row[:, None]), np.exp(joint).sum(axis=0), float(total.sum())
 
 
-def fit(features: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray, steps: int = 150, decay: float = 1e-3) -> Model:
-    """Maximum likelihood of the line labels by Adam steps on all documents, then the logistic curve."""
+def _own_labels(x: np.ndarray, y: np.ndarray, steps: int = 100, decay: float = 1e-3) -> np.ndarray:
+    """Probability of the good label from a line's own features alone, learnt from copied document labels: where EM begins."""
+    own = np.hstack([x[:, :OWN], np.ones((len(x), 1))])
+    w = np.zeros(own.shape[1])
+    mean, square = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, steps + 1):
+        _ascend(w, own.T @ (y - squash(own @ w)) / len(y) - decay * w, mean, square, step)
+    return squash(own @ w)
+
+
+def _ascend(p: np.ndarray, g: np.ndarray, mean: np.ndarray, square: np.ndarray, step: int) -> None:
+    """One Adam step along the gradient, in place."""
+    mean += 0.1 * (g - mean)
+    square += 0.01 * (g * g - square)
+    p += 0.1 * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.99 ** step)) + 1e-8)
+
+
+def constrained(unary: np.ndarray, lengths: np.ndarray, moves: np.ndarray, weights: np.ndarray, labels: np.ndarray,
+                good_share: float = GOOD_SHARE, bad_share: float = BAD_SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """Line marginals and expected moves nearest to the model's under which every document has its share of good length.
+
+    The share grows with the multiple of the line lengths added to the good label, so the least one is found by bisection.
+    """
+    starts = np.r_[0, np.cumsum(lengths)[:-1]]
+    total = np.add.reduceat(weights, starts)
+    pull = weights * np.repeat(lengths / total, lengths)  # 1 for a line of the document's mean length
+    sign = np.where(labels == 1, 1.0, -1.0)
+
+    def at(multiple: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        tilted = unary.astype(np.float64)
+        tilted[:, 1] += np.repeat(sign * multiple, lengths) * pull
+        found, moved, _ = marginals(tilted, lengths, moves)
+        share = np.add.reduceat(found[:, 1] * weights, starts) / total
+        return found, moved, np.where(labels == 1, share >= good_share, share <= bad_share)
+
+    low, high = np.zeros(len(lengths)), np.full(len(lengths), 64.0)
+    found, moved, met = at(low)
+    if met.all():
+        return found, moved
+    high[met] = 0.0
+    for _ in range(12):
+        middle = (low + high) / 2
+        met = at(middle)[2]
+        low, high = np.where(met, low, middle), np.where(met, middle, high)
+    return at(high)[:2]
+
+
+def fit(features: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS, steps: int = STEPS,
+        decay: float = 1e-3) -> Model:
+    """EM over latent line labels under the documents' constraints, Adam steps in between, then the logistic curve."""
     x, lengths = np.concatenate(features), np.array([len(f) for f in features])
-    y = np.repeat(labels, lengths)
-    inner = np.ones(len(y), bool)
-    inner[np.r_[0, np.cumsum(lengths)[:-1]]] = False
-    at = np.flatnonzero(inner)
-    wanted_moves = np.zeros((2, 2))
-    np.add.at(wanted_moves, (y[at - 1], y[at]), 1)
-    truth = np.eye(2)[y]
+    size = np.concatenate(weights)
     model = Model(np.zeros((x.shape[1], 2)), np.zeros((2, 2)), 1.0, 0.0)
     parameters = [model.weights, model.moves]
     mean, square = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
-    for step in range(1, steps + 1):
-        found, moved, _ = marginals(x @ model.weights, lengths, model.moves)
-        gradients = [x.T @ (truth - found) / len(y) - decay * model.weights,
-                     (wanted_moves - moved) / len(y) - decay * model.moves]
-        for p, g, m, s in zip(parameters, gradients, mean, square):
-            m += 0.1 * (g - m)
-            s += 0.01 * (g * g - s)
-            p += 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.99 ** step)) + 1e-8)
+    begin = _own_labels(x, np.repeat(labels, lengths))
+    unary = np.stack([np.zeros(len(x)), logit(begin)], axis=1)
+    for turn in range(rounds):
+        wanted, wanted_moves = constrained(unary, lengths, model.moves, size, labels)
+        for step in range(turn * steps + 1, (turn + 1) * steps + 1):
+            found, moved, _ = marginals(x @ model.weights, lengths, model.moves)
+            gradients = [x.T @ (wanted - found) / len(x) - decay * model.weights,
+                         (wanted_moves - moved) / len(x) - decay * model.moves]
+            for p, g, m, s in zip(parameters, gradients, mean, square):
+                _ascend(p, g, m, s, step)
+        unary = x @ model.weights
     raw = logit(model.raw(features, weights))
     slope, offset = 1.0, 0.0
     for _ in range(30):  # Newton steps on two parameters, slightly held back
@@ -157,8 +209,11 @@ def fit(features: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarra
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Learn from `labels(doc_id, quality)` on `docs(doc_id, text)`; None without a labelled document."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> Model | None:
+    """Learn from `labels(doc_id, quality)` on `docs(doc_id, text)`; None without a labelled document.
+
+    Of several rows of a document the least text is learnt from; texts of more than `lines` lines are not learnt from.
+    """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sizes = {row["quality"]: row["count"] for row in usable.groupBy("quality").count().collect()}
     picked = None
@@ -176,8 +231,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
                 yield pa.RecordBatch.from_arrays([pa.array([features.tobytes()]), pa.array([weights.tobytes()]), pa.array([quality], pa.int32())],
                                                  ["features", "weights", "quality"])
 
-    rows = (docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_labelled"))
-            .select(F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.col("quality").cast("int"))
+    rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+            .where(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) < lines)
+            .join(chosen, F.col("doc_id") == F.col("_labelled"))
+            .groupBy("_labelled").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+            .select(F.col("text").cast("binary"), F.col("quality").cast("int"))
             .mapInArrow(describe, "features binary, weights binary, quality int"))
     # In a fixed order, so that runs agree to the last digit of a sum.
     held = sorted((row["features"], row["weights"], row["quality"]) for row in rows.toLocalIterator())
@@ -199,12 +257,30 @@ def quality(text: Column, model: Model | None) -> Column:
     return of(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+def line_labels(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, line, good): every line of the texts, counted from 0, with its probability of being good.
+
+    NULL and empty texts are one empty line; repeated rows repeat their lines.
+    """
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, text in enumerate(batch.column(1).to_pylist()):
+                features, _ = document_features(text)
+                good = marginals(features @ model.weights, np.array([len(features)]), model.moves)[0][:, 1]
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).slice(at, 1).to_pylist() * len(good), batch.column(0).type),
+                                                  pa.array(np.arange(len(good)), pa.int64()), pa.array(good)], ["doc_id", "line", "good"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return (docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+            .mapInArrow(of, f"doc_id {kind}, line long, good double"))
+
+
 def score(docs: DataFrame, labels: DataFrame, good_from: float = GOOD_FROM, **options) -> DataFrame:
     """One row per row of `docs`: doc_id, score, predicted. Only the text decides.
 
     NULL and empty texts count as one empty line; equal texts score alike; labels without a document, other labels
-    than 0 and 1 and NULLs are left out; of several labels of a document the least counts; extra columns are
-    ignored; an empty table gives none.
+    than 0 and 1 and NULLs are left out; of several labels of a document the least counts, of several texts the least
+    is learnt from; extra columns are ignored; an empty table gives none.
     """
     model = train(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), **options)
     scored = docs.select("doc_id", quality(F.col("text"), model).alias("score"))
