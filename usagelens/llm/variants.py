@@ -2,7 +2,7 @@
 
 The trie of all words is a table of edges (node, label, child), where nodes are prefixes at which words part
 or end. Its frontier is a table of states (word, rest, node, edits): `node` is reached from the start of
-`word` with so many edits and `rest` is still to be read. Each level joins the frontier with the
+`word` with so many edits and `rest` is still to be read. Each level joins the frontier once with the
 edges: a state without an edit follows its own edge and also takes every other edge as a replaced, inserted
 or deleted code point; a state with its edit only follows. States that have read everything and stand
 on a word are neighbours.
@@ -158,28 +158,27 @@ def near_words(found: DataFrame) -> DataFrame:
                               F.lit(0).alias("edits"), (F.col("start") - top).alias("wait"))
     # A last code point too many is deleted on the spot, where a word ends; all other edits take an edge.
     near = [frontier.where("wait <= 0 AND length(rest) = 1").join(ends, "node", "left_semi").select("word", "node")]
+    depth = 1 + (frontier.agg(F.min(F.length("node") - 1)).first()[0] or 0)
     while True:
-        open_states = frontier.where("edits = 0 AND wait <= 0")
-        own = F.expr("startswith(rest, label)")
-        followed = (frontier.where("edits = 1 OR wait > 0").withColumn("first", F.expr("substring(rest, 1, 1)"))
-                    .join(edges, ["node", "first"]).where(own)
-                    .select("word", F.expr("substring(rest, length(label) + 1)").alias("rest"), F.col("child").alias("node"),
-                            "edits", F.expr("wait - length(label)").alias("wait"), "ends", "nexts"))
-        taken = (open_states.join(edges, "node").select(
-            "word", F.col("child").alias("node"), "ends", "nexts", F.expr("first = substring(rest, 1, 1)").alias("own"),
+        # One join serves both kinds of states; a level goes at least one code point down, so edges above are left out.
+        met = frontier.join(edges.where(F.length("node") >= depth), "node").select(
+            "word", F.col("child").alias("node"), "ends", "nexts", "edits", F.expr("greatest(wait - length(label), 0)").alias("wait"),
+            F.expr("edits = 0 AND wait <= 0").alias("open"), F.expr("startswith(rest, label)").alias("own"),
             *[F.expr(sql).alias(name) for name, sql in _EDITS.items()])
-            .where(f"own OR {' OR '.join(f'{name} IS NOT NULL' for name in ('replaced', 'inserted', 'deleted'))}"))
-        taken = taken.select("word", "node", "ends", "nexts", F.inline(F.array(
-            F.struct(F.when(F.col("own"), F.col("kept")).alias("rest"), F.lit(0).alias("edits")),
-            *[F.struct(F.when(~F.col("own"), F.col(name)).alias("rest"), F.lit(1).alias("edits"))
-              for name in ("replaced", "inserted", "deleted")]))).where("rest IS NOT NULL")
-        level = save(followed.union(taken.select("word", "rest", "node", "edits", F.lit(0).alias("wait"), "ends", "nexts"))
+        edit = F.col("open") & ~F.col("own")
+        taken = met.where("own OR (open AND coalesce(replaced, inserted, deleted) IS NOT NULL)").select(
+            "word", "node", "wait", "ends", "nexts", F.inline(F.array(
+                F.struct(F.when(F.col("own"), F.col("kept")).alias("rest"), "edits"),
+                *[F.struct(F.when(edit, F.col(name)).alias("rest"), F.lit(1).alias("edits"))
+                  for name in ("replaced", "inserted", "deleted")]))).where("rest IS NOT NULL")
+        level = save(taken.select("word", "rest", "node", "edits", "wait", "ends", "nexts")
                      # What can neither end here nor go on is dropped at once.
                      .where("edits = 0 OR (rest = '' AND ends) OR (rest <> '' AND instr(nexts, substring(rest, 1, 1)) > 0)")
                      .drop("nexts"), "level")
         near.append(level.where("(edits = 1 AND rest = '') OR (edits = 0 AND wait <= 0 AND length(rest) = 1 AND ends)")
                     .select("word", "node"))
         frontier = level.where("edits = 0 OR rest <> ''").drop("ends")
+        depth += 1
         if frontier.isEmpty():
             break
     every = near[0]
