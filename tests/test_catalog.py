@@ -115,3 +115,30 @@ def test_profile_of_the_row_level_join_equals_its_rows(spark, log):
     for how in ("inner", "left"):
         formed = profile_columns(cat.join_catalog_raw(rows, titles, how))
         assert sorted(cat.join_catalog_raw_profile(rows, titles, how).collect()) == sorted(formed.collect())
+
+
+def test_raw_join_of_a_small_log_is_spread_over_tasks(spark, log):
+    rows = log(*[(u, "foo", "play", u) for u in range(200)]).coalesce(1)
+    titles = cat.shape_catalog(spark.createDataFrame([("foo", "A")] * 30, "title string, genre string"))
+    for how in ("inner", "left"):
+        tasks = cat.join_catalog_raw(rows, titles, how).groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) > 1 and sum(row["count"] for row in tasks) == 6000
+
+
+def test_raw_join_rows_sum_every_column_of_every_row(spark, log):
+    import hashlib
+    from usagelens.plans.queries import raw_join_rows
+    rows = [(1, "foo", "play", 2), (1, "foo", "play", 2), (None, "foo", None, None), (3, None, "purchase", 1), (None, None, None, None),
+            (4, "", "play", 1.25)]
+    titles = [("foo", "A", "x"), ("foo", None, "x"), ("foo", "A", "x"), ("", "B", None), (None, "C", "y")]
+    catalog = spark.createDataFrame(titles, "title string, genre string, developer string")
+    found = {"inner": [], "left": []}
+    for row in rows:
+        met = [t[1:] for t in titles if row[1] is not None and t[0] == row[1]]
+        found["inner"] += [(row, t) for t in met]
+        found["left"] += [(row, t) for t in met or [(None, None)]]
+    for how, pairs in found.items():
+        texts = ["|".join([str(x) for x in (u, i, b, None if h is None else round(h * 100)) if x is not None] + [g or "-", d or "-"])
+                 for (u, i, b, h), (g, d) in pairs]
+        expected = sum(int(hashlib.md5(text.encode()).hexdigest()[:8], 16) for text in texts)
+        assert tuple(raw_join_rows(log(*rows), catalog, how).first()) == (len(pairs), sum(g is not None for _, (g, _) in pairs), expected)
