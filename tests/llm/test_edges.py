@@ -153,3 +153,15 @@ def test_text_ids_have_an_order(spark):
     numbered = spark.createDataFrame([(1, "one text"), (2, "two texts"), (3, "three")], "doc_id long, text string")
     by_number = {row["doc_id"]: tuple(row)[1:] for row in merkle.fingerprints(numbered).collect()}
     assert {"abc".index(key) + 1: tuple(row)[1:] for key, row in rows.items()} == by_number
+
+
+def test_language_model_learns_from_every_training_text(spark, documents, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+    docs = documents(*[(i, "a b c") for i in range(400)], (400, "b a"), (401, "b a"), (401, "b a"), (None, "b a"))
+    parts, average = [], lbl._averaged
+    monkeypatch.setattr(lbl, "_averaged", lambda rows, state: parts.append(rows.agg(F.sum("tokens")).first()[0]) or average(rows, state))
+    rows = lbl.score(docs, F.coalesce(F.col("doc_id") != 0, F.lit(True)), positions=100).collect()  # far more tokens than `positions`
+    assert sum(parts) == rows[0]["train_tokens"] == 399 * 4 + 4 * 3 and len(parts) == lbl.ROUNDS
+    known = {row["doc_id"]: row["score"] for row in rows}
+    assert np.isfinite(known[0]) and known[0] > known[400]
