@@ -266,3 +266,18 @@ def test_prefix_filter_loses_nothing():
                 continue
             sides = [jaccard.prefixes_of(np.unique(s), levels, 90, 3) for s in (x, y)]
             assert all(len(np.intersect1d(a, b)) for a, b in zip(*sides))
+
+
+def test_jaccard_parities_reject_far_pairs_and_no_near_one(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        pool = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+        x, y = np.unique(pool[:rng.integers(1, 300)]), np.unique(pool[rng.integers(0, 100):rng.integers(100, 400)])
+        differ = int(np.bitwise_count((jaccard.parities(x) ^ jaccard.parities(y)).view(np.uint64)).sum())
+        assert differ <= len(np.setxor1d(x, y))
+    sets = [np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))]
+    sets += [np.unique(np.r_[sets[0][:300 - k], rng.integers(0, 1 << 63, k).astype(np.uint64)]) for k in (10, 100)]
+    prefixes = spark.createDataFrame([(i, len(s), jaccard.parities(s).tolist()) for i, s in enumerate(sets)], "rep long, n long, odd array<long>")
+    pairs = spark.createDataFrame([(0, 1), (0, 2)], "a long, b long")
+    assert [tuple(r) for r in jaccard._close(pairs, prefixes, 90).collect()] == [(0, 1)]

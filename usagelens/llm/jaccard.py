@@ -4,7 +4,8 @@ If two sets are alike enough they share a token among the first few of each, in
 tokens are put. So a pair is a candidate only if it shares such a prefix token under every one of several
 orders. All orders put rare tokens first, by a coarse frequency from a sketch of fixed size, and break ties by
 different hashes; the sketch may be as wrong as it likes, an order is an order. The first order's prefixes
-are joined, the prefixes of the others then reject pairs, and only what passes is compared as a whole.
+are joined. Bits that tell an even from an odd number of tokens each then reject pairs that must differ in too many tokens, the
+prefixes of the other orders reject more, and only what passes is compared as a whole.
 
 Equal sets are one representative from the start. Tokens that many sets have in their prefix would join all
 pairs of them, so the join runs twice. First each set meets only its token's leader, the set in
@@ -37,6 +38,7 @@ _FAN = 64
 _BLOOM_BITS = 23
 _KNOWN_WORDS = 200_000
 _BATCH_TOKENS = 1 << 20
+_PARITY_BITS = 1024
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -96,6 +98,15 @@ def prefixes_of(tokens: np.ndarray, levels: np.ndarray, percent: int, orders: in
     return out
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """One bit for each of _PARITY_BITS shares of all tokens: whether the set holds an odd number of them.
+
+    Two sets differ in at least as many tokens as these bits.
+    """
+    share = (mixed(tokens ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(_PARITY_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(share, minlength=_PARITY_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def levels_of(counts: np.ndarray) -> np.ndarray:
     """Coarse frequency of each slot: 0 up to the usual fill, then two steps for each doubling."""
     usual = max(float(np.median(counts)), 1.0)
@@ -163,7 +174,7 @@ def _summed(parts: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, levels: np.ndarray, width: int, percent: int, orders: int) -> DataFrame:
-    """(key, n, tokens, more): the first order's prefix and short hashes of the others', once per set and task."""
+    """(key, n, tokens, more, odd): the first order's prefix, short hashes of the others' and parities, once per set and task."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,14 +187,15 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, width: int, percent: int, ord
                 if len(tokens) and key not in seen:
                     seen.add(key)
                     first, *others = prefixes_of(tokens, shared.value, percent, orders)
-                    out.append((key, len(tokens), first.view(np.int64), [x.astype(np.uint32).view(np.int32) for x in others]))
-            keys, sizes, firsts, more = zip(*out) if out else ([], [], [], [])
+                    out.append((key, len(tokens), first.view(np.int64), [x.astype(np.uint32).view(np.int32) for x in others],
+                                parities(tokens)))
+            keys, sizes, firsts, more, odd = zip(*out) if out else ([], [], [], [], [])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())),
-                 pa.array(more, pa.list_(pa.list_(pa.int32())))], ["key", "n", "tokens", "more"])
+                 pa.array(more, pa.list_(pa.list_(pa.int32()))), pa.array(odd, pa.list_(pa.int64()))], ["key", "n", "tokens", "more", "odd"])
 
     return (docs.select(F.col("text").cast("binary"))
-            .mapInArrow(read, "key binary, n long, tokens array<long>, more array<array<int>>"))
+            .mapInArrow(read, "key binary, n long, tokens array<long>, more array<array<int>>, odd array<long>"))
 
 
 def _possible(percent: int, a: str, b: str) -> Column:
@@ -193,8 +205,18 @@ def _possible(percent: int, a: str, b: str) -> Column:
                   f"least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {need}")
 
 
-def _sharing(pairs: DataFrame, prefixes: DataFrame, orders: int) -> DataFrame:
+def _close(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose parities do not prove that they differ in too many tokens."""
+    odd = prefixes.select("rep", F.struct("n", "odd").alias("own"))
+    both = (pairs.join(odd.select(F.col("rep").alias("a"), F.col("own").alias("of_a")), "a")
+            .join(odd.select(F.col("rep").alias("b"), F.col("own").alias("of_b")), "b"))
+    differ = F.aggregate(F.zip_with("of_a.odd", "of_b.odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return both.where(differ * (100 + percent) <= (F.col("of_a.n") + F.col("of_b.n")) * (100 - percent)).select("a", "b")
+
+
+def _sharing(pairs: DataFrame, prefixes: DataFrame, percent: int, orders: int) -> DataFrame:
     """Pairs that also share a prefix token under all other orders."""
+    pairs = save(_close(pairs, prefixes, percent), "close")
     if orders < 2:
         return pairs
     more = prefixes.select("rep", "more")
@@ -291,15 +313,15 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     grouped = save(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min("place").alias("place")), "keys")
     reps = save(grouped.withColumn("rep", F.monotonically_increasing_id()), "reps")
     prefixes = save(_prefixes(docs, levels, width, percent, orders).join(reps.select("key", "rep"), "key")
-                    .groupBy("rep").agg(*[F.first(name).alias(name) for name in ("n", "tokens", "more")]), "prefixes")
+                    .groupBy("rep").agg(*[F.first(name).alias(name) for name in ("n", "tokens", "more", "odd")]), "prefixes")
     postings = prefixes.select("rep", "n", F.posexplode("tokens").alias("pos", "token"))
     leads = (postings.groupBy("token").agg(F.min(F.struct("pos", "rep", "n")).alias("lead"), F.count("*").alias("held"))
              .where("held > 1").select("token", "lead"))
     shared = save(postings.join(leads, "token"), "shared")
 
-    met = save(_sharing(_met_leaders(shared, percent), prefixes, orders), "candidates")
+    met = save(_sharing(_met_leaders(shared, percent), prefixes, percent, orders), "candidates")
     links = save(_verified(met, docs, reps, width, percent), "links")
-    met = save(_sharing(_met_others(shared, components(links), percent, block), prefixes, orders), "candidates")
+    met = save(_sharing(_met_others(shared, components(links), percent, block), prefixes, percent, orders), "candidates")
     links = links.union(_verified(met, docs, reps, width, percent))
 
     groups = components(links).select(F.col("node").alias("rep"), "label")
