@@ -1,10 +1,12 @@
 """Licence scans: a paragraph classifier, an unknown class with a calibrated threshold, template comparison.
 
-Paragraphs (long ones cut at sentence ends) become sparse hashed 1- and 2-gram vectors. Multinomial logistic regression,
-trained on sentences of well-known licence notices and on a bounded sample of corpus paragraphs as the class `unknown`, names
-the family. The probability a family needs is calibrated on other corpus paragraphs of that sample. A prediction is
-confirmed when the paragraph shares enough of its 2-grams with a template of the family, so that prose that only uses the
-same words is left alone. DataFrame expressions and Spark's own vector functions do all the work.
+Paragraphs (long ones cut at sentence ends) become the set of template words and word pairs they hold. Multinomial logistic
+regression, trained on sentences of well-known licence notices and on every corpus paragraph as the class `unknown`, names the
+family. Paragraphs of equal sets are one training row that weighs their number, which leaves the fit as it is; the class
+`unknown` as a whole weighs `UNKNOWN_WEIGHT` paragraphs at most, so that notices count in a corpus of any size. The
+probability a family needs is calibrated on every corpus paragraph too, by models of the half of the sets it is not in. A
+prediction is confirmed when the paragraph shares enough of its 2-grams with a template of the family, so that prose that
+only uses the same words is left alone. DataFrame expressions and Spark's own vector functions do all the work.
 """
 
 from __future__ import annotations
@@ -12,16 +14,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import save, share_of_hash
+from usagelens.llm.common import save
 
 UNKNOWN = "unknown"
-SAMPLE = 3000
-WIDTH = 1 << 12
+UNKNOWN_WEIGHT = 3000
 LONG = 400
 CONFIRM_AT = 0.6
 LEAST_PROBABILITY = 0.5
@@ -84,12 +85,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def grams(words: Column) -> Column:
-    """Words and pairs of adjacent words."""
-    n = F.size(words)
-    return F.concat(words, pairs(words, n))
-
-
 def pairs(words: Column, n: Column) -> Column:
     return F.when(n >= 2, F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1),
                                      lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
@@ -102,9 +97,35 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "paragraph", F.explode(pieces).alias("piece")).where(F.col("piece").rlike(r"\p{L}"))
 
 
-def _features(df: DataFrame, text: str) -> DataFrame:
-    hashing = HashingTF(inputCol="_grams", outputCol="features", numFeatures=WIDTH, binary=True)
-    return hashing.transform(df.withColumn("_words", words_of(F.col(text))).withColumn("_grams", grams(F.col("_words"))))
+def gram_keys(words: Column) -> Column:
+    """64-bit hashes of all words and of all pairs of adjacent words."""
+    # A column inside a lambda would be computed once an element; bound as a variable it is computed once a row.
+    return F.element_at(F.transform(F.array(F.transform(words, lambda word: F.xxhash64(word))), lambda h: F.concat(h, pair_keys(h))), 1)
+
+
+def pair_keys(hashes: Column) -> Column:
+    n = F.size(hashes)
+    return F.when(n >= 2, F.zip_with(F.slice(hashes, F.lit(1), n - 1), F.slice(hashes, F.lit(2), n - 1),
+                                     lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
+
+
+def template_keys(spark: SparkSession) -> tuple[list[int], list[int]]:
+    """Sorted keys of the words and of the word pairs of all templates."""
+    words = F.transform(words_of(F.col("template")), lambda word: F.xxhash64(word))
+    row = template_table(spark).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(words)))).alias("words"),
+                                    F.array_sort(F.array_distinct(F.flatten(F.collect_list(pair_keys(words))))).alias("pairs")).first()
+    return row["words"], row["pairs"]
+
+
+def held_keys(words: Column, keys: Sequence[int]) -> Column:
+    """The set of `keys` that the words and their pairs hold, as a sorted array."""
+    return F.array_sort(F.array_distinct(F.filter(gram_keys(words), lambda key: key.isin(*keys))))
+
+
+def _features(df: DataFrame, keys: Sequence[int]) -> DataFrame:
+    """`df` with the column `features`: one dimension for each of `keys`, 1 where the array `keys` holds it."""
+    counter = CountVectorizerModel.from_vocabulary([str(key) for key in keys], inputCol="_names", outputCol="features", binary=True)
+    return counter.transform(df.withColumn("_names", F.col("keys").cast("array<string>"))).drop("_names")
 
 
 def template_table(spark: SparkSession) -> DataFrame:
@@ -113,27 +134,49 @@ def template_table(spark: SparkSession) -> DataFrame:
     return table.select("family", "template", F.array_distinct(pairs(F.col("_w"), F.size("_w"))).alias("template_pairs"))
 
 
-def similarity(spark: SparkSession, words: Column, family: Column) -> Column:
-    """Largest share of word pairs in common with a template of the family, of the smaller of paragraph and template."""
-    held: dict[str, list[list[str]]] = {}
-    for row in template_table(spark).collect():  # the templates above
-        held.setdefault(row["family"], []).append(row["template_pairs"])
-    own = F.array_distinct(pairs(words, F.size(words)))
+def similarity(spark: SparkSession, words: Column, family: Column | None = None) -> Column:
+    """Largest share of word pairs in common with a template of the family (of any without one), of the smaller of paragraph and template."""
+    table = F.array(*[F.struct(F.lit(row["family"]).alias("family"), F.array(*[F.lit(g) for g in row["template_pairs"]]).alias("held"))
+                      for row in template_table(spark).collect()])  # the templates above
+
+    def share(own: Column, held: Column) -> Column:
+        return F.size(F.array_intersect(own, held)) / F.greatest(F.least(F.size(own), F.size(held)), F.lit(2))
 
-    def share(template: list[str]) -> Column:
-        return F.size(F.array_intersect(own, F.array(*[F.lit(g) for g in template]))) / F.greatest(
-            F.least(F.size(own), F.lit(len(template))), F.lit(2))
+    def best(own: Column) -> Column:
+        near = F.filter(table, lambda t: F.lit(True) if family is None else t["family"] == family)
+        return F.array_max(F.transform(near, lambda t: share(own, t["held"])))
+
+    own = F.array_distinct(pairs(words, F.size(words)))
+    return F.coalesce(F.element_at(F.transform(F.array(own), best), 1), F.lit(0.0))  # computed once a row, as in gram_keys
 
-    best = None
-    for name, templates in held.items():
-        value = F.greatest(*[share(t) for t in templates])
-        best = F.when(family == name, value) if best is None else best.when(family == name, value)
-    return F.coalesce(best, F.lit(0.0))
 
+def describe(docs: DataFrame, confirm_at: float = CONFIRM_AT) -> DataFrame:
+    """All paragraphs of `docs(doc_id, text)` as (keys, notice, found, n), in one pass over the texts.
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[LogisticRegressionModel, float, list[str]]:
-    """The classifier, the probability a family needs, and the class names in the order of its output."""
+    `keys` holds the template words and pairs of a paragraph. `notice` says whether it is near enough to a template not to stand
+    for the unknown class. Paragraphs that a template may confirm keep `found(doc_id, paragraph, piece)`; of the others equal ones
+    are one row. `n` paragraphs are alike.
+    """
     spark = docs.sparkSession
+    words, both = template_keys(spark)
+    least = min(confirm_at, CONFIRM_AT)
+    held = (paragraphs(docs).withColumn("_words", words_of(F.col("piece")))
+            .withColumn("keys", held_keys(F.col("_words"), sorted({*words, *both}))))
+    # A share is of two pairs at least, so fewer pairs in common than that cannot reach it.
+    enough = F.size(F.filter("keys", lambda key: key.isin(*both))) >= 2 * least
+    nearest = held.withColumn("_nearest", F.when(enough, similarity(spark, F.col("_words"))).otherwise(F.lit(0.0)))
+    return save(nearest.groupBy("keys", (F.col("_nearest") >= CONFIRM_AT).alias("notice"),
+                                F.when(F.col("_nearest") >= confirm_at, F.struct("doc_id", "paragraph", "piece")).alias("found"))
+                .agg(F.count("*").alias("n")), "paragraphs")
+
+
+def train(described: DataFrame, weight: float = UNKNOWN_WEIGHT) -> tuple[LogisticRegressionModel, float, list[str], list[int]]:
+    """The classifier, the probability a family needs, the class names in the order of its output, and the keys of its features.
+
+    Every paragraph of `described` that is no notice itself stands for the unknown class.
+    """
+    spark = described.sparkSession
+    keys = sorted({key for held in template_keys(spark) for key in held})
     families = [UNKNOWN, *sorted(TEMPLATES)]
     code = F.element_at(F.map_from_arrays(F.array(*[F.lit(f) for f in families]),
                                           F.array(*[F.lit(float(i)) for i in range(len(families))])), F.col("family"))
@@ -144,23 +187,29 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[LogisticRegressionMode
     cut = F.explode(F.array(F.col("piece"), F.array_join(F.slice(w, F.lit(1), F.ceil(n * 0.6).cast("int")), " "),
                             F.array_join(F.slice(w, (F.floor(n * 0.4) + 1).cast("int"), n), " ")))
     known = known.where(n >= 1).select("family", cut.alias("piece"), F.lit(20.0).alias("weight"))
-    total = docs.count()
-    picked = docs.where(share_of_hash(F.col("doc_id"), min(1.0, 2 * sample / max(total, 1) / 3), 17))
-    other = (save(paragraphs(picked.select("doc_id", "text")).select("piece").orderBy(F.xxhash64("piece"), "piece").limit(2 * sample), "unknown")
-             .withColumn("_w", words_of(F.col("piece"))))
-    # Corpus paragraphs that are notices themselves do not stand for the unknown class.
-    nearest = F.greatest(*[similarity(spark, F.col("_w"), F.lit(f)) for f in families[1:]])
-    other = save(other.where(nearest < CONFIRM_AT).select(F.lit(UNKNOWN).alias("family"), "piece", F.lit(1.0).alias("weight"))
-                 .withColumn("even", F.pmod(F.xxhash64("piece"), F.lit(2)) == 0), "unknown")
     empty = spark.createDataFrame([(UNKNOWN, "", 1.0)], "family string, piece string, weight double")
-    rows = _features(known.unionAll(other.where("even").drop("even")).unionAll(empty).withColumn("label", code), "piece")
-    model = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=40, weightCol="weight").fit(
-        save(rows.select("label", "weight", "features"), "training"))
-    checked = model.transform(_features(other.where(~F.col("even")), "piece"))
-    unknown = vector_to_array("probability")[0]
-    # 999 of 1,000 unknown paragraphs stay below.
-    most = checked.agg(F.percentile_approx(1 - unknown, 0.999, 10_000)).first()[0]
-    return model, max(LEAST_PROBABILITY, most or 0.0), families
+    fixed = save(known.unionAll(empty).select(code.alias("label"), "weight", held_keys(words_of(F.col("piece")), keys).alias("keys")), "notices")
+    unknown = save(described.where(~F.col("notice")).groupBy("keys").agg(F.sum("n").alias("n"))
+                   .withColumn("half", F.pmod(F.xxhash64("keys"), F.lit(2)).cast("int")), "unknown")
+    sizes = {row["half"]: row["n"] for row in unknown.groupBy("half").agg(F.sum("n").alias("n")).collect()}
+
+    def fit(rows: DataFrame, size: int) -> LogisticRegressionModel:
+        each = F.col("n") * F.lit(min(1.0, weight / max(size, 1)))
+        rows = fixed.unionAll(rows.select(F.lit(0.0).alias("label"), each.alias("weight"), "keys"))
+        return LogisticRegression(family="multinomial", regParam=1e-3, maxIter=40, weightCol="weight").fit(
+            save(_features(rows, keys).select("label", "weight", "features"), "training"))
+
+    model = fit(unknown, sum(sizes.values()))
+    most = 0.0
+    if sizes:
+        checked = [fit(unknown.where(F.col("half") != half), sizes.get(1 - half, 0)).transform(_features(unknown.where(F.col("half") == half), keys))
+                   for half in sorted(sizes)]
+        likely = 1 - vector_to_array("probability")[0]
+        # 999 of 1,000 unknown paragraphs stay below; steps of 1 / 10,000 bound what the percentile holds.
+        values = [part.select((F.ceil(likely * 10_000) / 10_000).alias("likely"), "n") for part in checked]
+        values = values[0].unionAll(values[-1]) if len(values) > 1 else values[0]
+        most = values.agg(F.percentile("likely", 0.999, F.col("n"))).first()[0]
+    return model, max(LEAST_PROBABILITY, most), families, keys
 
 
 def scan(docs: DataFrame, confirm_at: float = CONFIRM_AT, **options) -> DataFrame:
@@ -169,9 +218,10 @@ def scan(docs: DataFrame, confirm_at: float = CONFIRM_AT, **options) -> DataFram
     Only confirmed predictions are returned. NULL, empty and letterless texts have none; a repeated row repeats its rows; on
     ties the first family by name counts; rows without doc_id keep NULL; extra columns are ignored; an empty table gives none.
     """
-    docs = docs.select("doc_id", "text")
-    model, needed, families = train(docs, **options)
-    scored = model.transform(_features(paragraphs(docs), "piece"))
+    described = describe(docs.select("doc_id", "text"), confirm_at)
+    model, needed, families, keys = train(described, **options)
+    possible = described.where(F.col("found").isNotNull()).select("keys", "found.*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_copy"))
+    scored = model.transform(_features(possible, keys)).withColumn("_words", words_of(F.col("piece")))
     chances = vector_to_array("probability")
     named = scored.withColumn("_chances", F.slice(chances, 2, len(families) - 1))
     best = F.array_max("_chances")
