@@ -165,3 +165,23 @@ def test_language_model_learns_from_every_training_text(spark, documents, monkey
     assert sum(parts) == rows[0]["train_tokens"] == 399 * 4 + 4 * 3 and len(parts) == lbl.ROUNDS
     known = {row["doc_id"]: row["score"] for row in rows}
     assert np.isfinite(known[0]) and known[0] > known[400]
+
+
+def test_language_model_learns_alike_from_large_and_small_tables(spark, documents, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+    docs = documents(*[(i, "a b c") for i in range(60)], (60, None))
+    asked, train_on_all = [], lbl.train_on_all
+    monkeypatch.setattr(lbl, "train_on_all", lambda *args: asked.append((args[0].where("turn is not null").count(), *args[3:])) or train_on_all(*args))
+    for positions in (100, 100_000):
+        lbl.score(docs, F.col("doc_id") != 0, positions=positions).collect()
+    assert [(rows, epochs * passes) for rows, _, epochs, passes in asked] == [(60, lbl.EPOCHS)] * 2
+
+    size, sequences = 3 + lbl.RARE, [np.array([1, 2, 0], np.int16), np.array([2, 2, 1, 0], np.int16)]
+    counts = np.bincount(np.concatenate(sequences), minlength=size).astype(float)
+    coded = spark.createDataFrame([(0, bytearray(w.tobytes())) for w in sequences], "turn int, kinds binary").coalesce(1)
+    got = train_on_all(coded, {lbl.END: 0, b"a": 1, b"b": 2}, counts, 1, 1, 3)
+    state, rng = lbl.start(counts), np.random.default_rng((0, 0))
+    for _ in range(3):
+        lbl.learn(state, np.concatenate(sequences), np.array([0, 3]), lbl.noise_share(counts), rng)
+    assert np.allclose(got.bias, state[2]) and np.allclose(got.target, state[1])
