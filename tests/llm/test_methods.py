@@ -235,3 +235,18 @@ def test_large_test_sets_are_met_alike(spark, documents):
     assert small == sorted(map(str, decontaminate.overlaps(docs, items, broadcast_rows=0).collect()))
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs, items).collect()} == {
         (1, 1), (2, 1), (3, 2), (3, 3), (3, None), (None, 3), (None, None)}
+
+
+def test_terms_are_looked_up_in_runs_of_bounded_size():
+    import pyarrow as pa
+
+    class Look:
+        def hits(self, terms):
+            return {"bb"} & set(terms)
+
+    texts = ["bb " * 200_000, "", "cc " * 200_000, "bb cc"]
+    got = list(pii._by_chunk(Look(), pa.array(["x", *texts], pa.string()).slice(1)))
+    assert [(first, len(held)) for first, held, _, _ in got] == [(0, 2), (2, 2)]
+    assert [text for _, held, _, _ in got for text in held] == texts
+    assert [terms for _, _, sets, _ in got for terms in sets] == [{"bb"}, set(), {"cc"}, {"bb", "cc"}]
+    assert [wanted for *_, wanted in got] == [{"bb"}, {"bb"}]

@@ -92,3 +92,17 @@ def test_spread_join_equals_join(spark):
         found = spread_join(rows, table, ["k"], ["id"], how).select("id", "w").collect()
         plain = rows.join(table, "k", how).select("id", "w").collect()
         assert sorted(map(str, found)) == sorted(map(str, plain))
+
+
+def test_spread_join_broadcasts_no_copies_of_a_table_below_the_threshold(spark, tmp_path):
+    spark.range(2000).select("id", (F.col("id") * 7).alias("w")).coalesce(1).write.parquet(str(tmp_path / "table"))
+    spark.range(5000).select((F.col("id") % 2000).alias("id"), F.col("id").alias("n")).write.parquet(str(tmp_path / "rows"))
+    rows, table = (spark.read.parquet(str(tmp_path / name)) for name in ("rows", "table"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 30_000)  # more than the table's file, less than its 50 copies
+        found = spread_join(rows, table, ["id"], ["n"], salts=50)
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+        assert found.where("w = 7 * id").count() == 5000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -175,11 +176,12 @@ class TermFilter:
         return {terms[i] for i in np.flatnonzero(inside)}
 
 
-def _by_chunk(look: TermFilter, texts: list[str]) -> Iterator[tuple[int, list[set[str]], set[str]]]:
-    """(first row, term sets, terms that pass the filter) for bounded runs of texts."""
-    for start, end in chunks(np.array([len(t) for t in texts]), 4 << 20, 4096):
-        sets = [set(terms_in(text)) for text in texts[start:end]]
-        yield start, sets, look.hits(list(set().union(*sets)))
+def _by_chunk(look: TermFilter, column: pa.Array) -> Iterator[tuple[int, list[str], list[set[str]], set[str]]]:
+    """(first row, texts, term sets, terms that pass the filter) for bounded runs of texts, whatever a batch holds."""
+    for start, end in chunks(np.asarray(pc.binary_length(column)), 1 << 20, 4096):
+        texts = column.slice(start, end - start).to_pylist()
+        sets = [set(terms_in(text)) for text in texts]
+        yield start, texts, sets, look.hits(list(set().union(*sets)))
 
 
 def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -189,11 +191,10 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total: Counter[str] = Counter()
-            texts = batch.column(0).to_pylist()
-            for first, sets, wanted in _by_chunk(look, texts):
-                for i, held in enumerate(sets, first):
+            for _, texts, sets, wanted in _by_chunk(look, batch.column(0)):
+                for text, held in zip(texts, sets):
                     if held & wanted:
-                        total.update(plain_terms(texts[i]) & wanted)
+                        total.update(plain_terms(text) & wanted)
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())],
                                              ["term", "n"])
 
@@ -207,12 +208,12 @@ def term_places(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, texts = (column.to_pylist() for column in batch.columns)
+            ids, hashes = (column.to_pylist() for column in batch.columns[:2])
             found: list[tuple] = []
-            for first, sets, wanted in _by_chunk(look, texts):
-                for i, held in enumerate(sets, first):
+            for first, texts, sets, wanted in _by_chunk(look, batch.column(2)):
+                for i, (text, held) in enumerate(zip(texts, sets), first):
                     if held & wanted:
-                        plain = _without(texts[i], base_spans(texts[i]))
+                        plain = _without(text, base_spans(text))
                         found += [(ids[i], hashes[i], m[0].lower(), m.start(), m.end())
                                   for m in _TERM.finditer(plain) if m[0].lower() in wanted]
             columns = list(zip(*found)) if found else [[]] * 5
