@@ -179,7 +179,7 @@ def test_language_model_learns_alike_from_large_and_small_tables(spark, document
 
     size, sequences = 3 + lbl.RARE, [np.array([1, 2, 0], np.int16), np.array([2, 2, 1, 0], np.int16)]
     counts = np.bincount(np.concatenate(sequences), minlength=size).astype(float)
-    coded = spark.createDataFrame([(0, bytearray(w.tobytes())) for w in sequences], "turn int, kinds binary").coalesce(1)
+    coded = spark.createDataFrame([(0, bytearray(w.tobytes()), 9) for w in sequences], "turn int, kinds binary, size long").coalesce(1)
     got = train_on_all(coded, {lbl.END: 0, b"a": 1, b"b": 2}, counts, 1, 1, 3)
     state, rng = lbl.start(counts), np.random.default_rng((0, 0))
     for _ in range(3):
